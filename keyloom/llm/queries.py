@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import fusion, seen
+from keyloom.llm import fusion, mixing, packing, seen
+from keyloom.llm.tokens import n_tokens
 from keyloom.session import table
 
 
@@ -29,7 +30,43 @@ def p5_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _seen(spark, sf_dir).errors()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_records, p5_found, p5_errors)}
+def _containers(spark: SparkSession, sf_dir: str) -> dict[str, int]:
+    return {r.container_kind: r.capacity_tokens for r in table(spark, sf_dir, "containers").collect()}
+
+
+def _packed(spark: SparkSession, sf_dir: str, tiered: bool) -> DataFrame:
+    sizes = packing.staged_sizes(table(spark, sf_dir, "documents"), n_tokens("text"))
+    return packing.pack(sizes, _containers(spark, sf_dir), tiered=tiered)
+
+
+def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All notebooks in containers of each capacity."""
+    return _packed(spark, sf_dir, tiered=False)
+
+
+def p6_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every notebook once, in a container of its own tier or in a gap of a longer one."""
+    return _packed(spark, sf_dir, tiered=True)
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p6_pack(spark, sf_dir), _containers(spark, sf_dir))
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> mixing.Mix:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_tokens("text").alias("n_tokens"))
+    return mixing.mix(docs, table(spark, sf_dir, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).rows
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).shares
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_records, p5_found, p5_errors, p6_pack, p6_tiers, p6_fill, p7_mix, p7_shares)}
 
 _PLACEHOLDERS = ", ".join(f"'{p}'" for p in sorted(fusion.PLACEHOLDERS))
 
