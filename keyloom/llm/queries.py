@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import fusion, mixing, packing, seen
+from keyloom.llm import fusion, langid, mixing, packing, seen
 from keyloom.llm.tokens import n_tokens
 from keyloom.session import table
 
@@ -66,7 +66,27 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).shares
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_records, p5_found, p5_errors, p6_pack, p6_tiers, p6_fill, p7_mix, p7_shares)}
+def _labelled(spark: SparkSession, sf_dir: str, stretches: bool) -> DataFrame:
+    return langid.label_languages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "languages"), stretches=stretches)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.wrong_or_missing(_labelled(spark, sf_dir, stretches=False)).select("doc_id", "lang")
+
+
+def p8_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stretch of prose in one language, with its language and confidence."""
+    rows = _labelled(spark, sf_dir, stretches=True).select("doc_id", F.posexplode("stretches").alias("stretch", "s"))
+    return rows.select("doc_id", "stretch", "s.char_from", "s.char_to", "s.lang", "s.confidence")
+
+
+def p8_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each notebook's language, how sure it is, and what its label said."""
+    top = F.col("langs")[0]
+    return _labelled(spark, sf_dir, stretches=False).select("doc_id", "label", "label_code", top["lang"].alias("lang"), top["share"].alias("share"), top["confidence"].alias("confidence"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_records, p5_found, p5_errors, p6_pack, p6_tiers, p6_fill, p7_mix, p7_shares, p8_found, p8_stretches, p8_labels)}
 
 _PLACEHOLDERS = ", ".join(f"'{p}'" for p in sorted(fusion.PLACEHOLDERS))
 
