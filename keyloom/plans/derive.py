@@ -53,7 +53,7 @@ def op_history(spark: SparkSession, sf_dir: str, key: Column | None = None) -> D
     e = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("idx"), (F.concat(F.lit("u"), "user_id") if key is None else key).alias("key"),
         F.when(F.col("event_type").isin("view", "click"), "READ").otherwise("WRITE").alias("type"),
-        F.expr("unix_millis(ts)").alias("start_ms"),
+        F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts AS timestamp_ntz))").alias("start_ms"),
     )
     w = Window.partitionBy("key").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     written = F.when(F.col("type") == "WRITE", F.concat(F.lit("v"), "idx"))
@@ -103,7 +103,7 @@ SQL = {
                    CASE WHEN o_orderkey // 9 % 3 > 0 THEN 'c=' || (o_orderkey // 9 % 3) END) AS clock,
          starts_with(o_orderpriority, '5') AS tombstone FROM orders)""",
     "op_history": """op_history AS (
-  SELECT idx, key, type, CASE WHEN type = 'WRITE' THEN 'v' || idx ELSE past[len(past) - idx % 3] END AS value, start_ms,
+  SELECT idx, key, type, CASE WHEN type = 'WRITE' THEN 'v' || idx WHEN len(past) > idx % 3 THEN past[len(past) - idx % 3] END AS value, start_ms,
          start_ms + idx % 7 * 3 * 3600000 AS end_ms, CASE WHEN idx % 10 = 0 THEN 'FAILURE' WHEN idx % 10 = 1 THEN 'UNKNOWN' ELSE 'SUCCESS' END AS result, idx % 3 AS coordinator
   FROM (SELECT *, list_filter(list(CASE WHEN type = 'WRITE' THEN 'v' || idx END) OVER (PARTITION BY key ORDER BY idx ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING), lambda x: x IS NOT NULL) AS past
         FROM (SELECT event_id AS idx, {key} AS key, CASE WHEN event_type IN ('view', 'click') THEN 'READ' ELSE 'WRITE' END AS type, epoch_ms(ts) AS start_ms FROM events)))""",
