@@ -18,24 +18,38 @@ def _successful(history: DataFrame, kind: str) -> DataFrame:
     return history.where((F.col("type") == kind) & (F.col("result") == "SUCCESS"))
 
 
-def _as_of(history: DataFrame, own_session: bool) -> DataFrame:
-    """Each successful read with what it should have seen: of the key's writes that ended by its start, the last to end.
+def _last_before(reads: DataFrame, writes: DataFrame, *within: str) -> DataFrame:
+    """Each read with the write that ended last by its start: (idx, key, value, w).
 
     One window per key in place of an as-of join: writes are placed at their end, reads at their start, and the latest write
     before (or at) a read is carried forward. Of writes that end together the first recorded counts.
-    For the session check, only writes recorded before the read count; these need the pairs within a key.
     """
-    reads, writes = _successful(history, "READ"), _successful(history, "WRITE")
-    if own_session:
-        w = writes.select(F.col("key").alias("wk"), F.col("idx").alias("wi"), F.col("value").alias("wv"), F.col("end_ms").alias("we"))
-        seen = reads.join(w, (F.col("key") == F.col("wk")) & (F.col("we") <= F.col("start_ms")) & (F.col("wi") < F.col("idx")), "left")
-        return seen.groupBy("idx", "key", "value").agg(F.max_by(F.when(F.col("wi").isNotNull(), F.struct(F.col("wv").alias("v"))), F.struct("we", -F.col("wi"))).alias("w"))
-    points = writes.select("key", F.col("end_ms").alias("at"), F.lit(0).alias("kind"), (-F.col("idx")).alias("tie"), "idx", "value").unionByName(
-        reads.select("key", F.col("start_ms").alias("at"), F.lit(1).alias("kind"), F.lit(0).cast("bigint").alias("tie"), "idx", "value")
+    group = ["key", *within]
+    write = F.struct(F.col("end_ms").alias("e"), (-F.col("idx")).alias("i"), F.col("value").alias("v"))
+    none = F.lit(None).cast("struct<e:bigint,i:bigint,v:string>")
+    points = writes.select(*group, F.col("end_ms").alias("at"), F.lit(0).alias("kind"), (-F.col("idx")).alias("tie"), "idx", "value", write.alias("own")).unionByName(
+        reads.select(*group, F.col("start_ms").alias("at"), F.lit(1).alias("kind"), F.lit(0).cast("bigint").alias("tie"), "idx", "value", none.alias("own"))
     )
-    order = Window.partitionBy("key").orderBy("at", "kind", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("kind") == 0, F.struct(F.col("value").alias("v"))), ignorenulls=True).over(order)
-    return points.withColumn("w", last).where("kind = 1").select("idx", "key", "value", "w")
+    order = Window.partitionBy(*group).orderBy("at", "kind", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    return points.withColumn("w", F.last("own", ignorenulls=True).over(order)).where("kind = 1").select("idx", "key", "value", "w")
+
+
+def _as_of(history: DataFrame, own_session: bool) -> DataFrame:
+    """Each successful read with what it should have seen: of the key's writes that ended by its start, the last to end.
+
+    For the session check only writes recorded before the read count. That is a second order besides time; no pairs
+    are made for it: operations are halved by recording order again and again, and at each of the log2(n) levels the
+    reads of a right half look back at the writes of its left half, as above.
+    """
+    reads, writes = _successful(history, "READ"), _successful(history, "WRITE")
+    if not own_session:
+        return _last_before(reads, writes)
+    by_idx = Window.partitionBy("key").orderBy("idx")
+    ranked = reads.unionByName(writes).withColumn("r", F.row_number().over(by_idx) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    levels = F.sequence(F.lit(0), F.length(F.bin(F.col("n") - 1)) - 1)
+    at = ranked.withColumn("level", F.explode(levels)).withColumn("block", F.expr("shiftright(r, level + 1)")).withColumn("right", F.expr("shiftright(r, level) & 1"))
+    found = _last_before(at.where("type = 'READ' AND right = 1"), at.where("type = 'WRITE' AND right = 0"), "level", "block")
+    return found.groupBy("idx", "key", "value").agg(F.max("w").alias("w"))
 
 
 def _violations(seen: DataFrame, kind: str) -> DataFrame:

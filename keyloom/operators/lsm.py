@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyloom.session import stage
+from keyloom.operators.running import running_total
 
 
 def union_runs(*runs: DataFrame) -> DataFrame:
@@ -50,25 +50,16 @@ def run_scan(run: DataFrame, start: str | None = None, end: str | None = None) -
     return run.where(key_range(F.col("key"), start, end)).orderBy("key")
 
 
+def assign_sequence(writes: DataFrame, order: str, start: int | Column = 0) -> DataFrame:
+    """``writes`` with ``seq`` start+1, start+2, ... by ``order``, numbered in parallel."""
+    out = running_total(writes, [order], F.lit(1), "seq")
+    return out.withColumn("seq", F.col("seq") + start)
+
+
 def recover(tables: DataFrame, wal: DataFrame) -> DataFrame:
     """Entries after a restart: the log's records (offset, key, value) get sequences above every table's, in log order."""
     top = tables.select(F.coalesce(F.max("seq"), F.lit(0)).alias("m")).scalar()
-    order = Window.orderBy("offset")  # a log is one file of bounded size
-    replayed = wal.withColumn("seq", top + F.row_number().over(order)).select("key", "value", "seq")
-    return tables.select("key", "value", "seq").unionByName(replayed)
-
-
-def _ranged(df: DataFrame, order: str) -> DataFrame:
-    """``df`` with ``__p``, the number of its range of ``order``; staged, since a second run could draw other bounds."""
-    return stage(df.repartitionByRange(order).withColumn("__p", F.spark_partition_id()), "ranged")
-
-
-def assign_sequence(writes: DataFrame, order: str, start: int = 0) -> DataFrame:
-    """Sequences start+1, start+2, ... in the order of ``order``: ranges are numbered in parallel, from the counts of those before."""
-    ranged = _ranged(writes, order)
-    offsets = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n")).select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__o"))
-    local = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(order)))
-    return local.join(offsets, "__p").withColumn("seq", F.col("__o") + F.col("__r") + start).drop("__p", "__r", "__o")
+    return tables.select("key", "value", "seq").unionByName(assign_sequence(wal, "offset", top).select("key", "value", "seq"))
 
 
 def flush(entries: DataFrame, path: str, max_records: int = 5_000_000) -> DataFrame:
@@ -82,14 +73,11 @@ def compact(inputs: DataFrame, max_bytes: int, drop_tombstones: bool) -> DataFra
     """Merged entries cut into output runs: (out_run, key, value, seq).
 
     In key order, an entry goes to run floor(bytes before it / max_bytes), so a run exceeds max_bytes by one
-    entry at most. Bytes are summed within ranges in parallel, then over the ranges' sums.
+    entry at most.
     """
     merged = newest_wins(inputs, drop_tombstones=drop_tombstones).withColumn("bytes", 16 + F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0)))
-    ranged = _ranged(merged, "key")
-    w = Window.partitionBy("__p").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy("__p").agg(F.sum("bytes").alias("n")).select("__p", (F.sum("n").over(Window.orderBy("__p")) - F.col("n")).alias("o"))
-    placed = ranged.withColumn("before", F.coalesce(F.sum("bytes").over(w), F.lit(0))).join(offsets, "__p")
-    return placed.select(F.floor((F.col("o") + F.col("before")) / max_bytes).cast("bigint").alias("out_run"), "key", "value", "seq")
+    placed = running_total(merged, ["key"], F.col("bytes"), "upto")
+    return placed.select(F.floor((F.col("upto") - F.col("bytes")) / max_bytes).cast("bigint").alias("out_run"), "key", "value", "seq")
 
 
 def swap_runs(live: DataFrame, obsolete: DataFrame, added: DataFrame, on: str = "run_id") -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.functions.hashing import Lcg48, zipf_index
 from keyloom.operators.lsm import newest_wins
+from keyloom.operators.running import running_total
 
 #: Shares of read, update, insert, scan and read-modify-write of the standard mixes.
 MIXES = {
@@ -117,8 +118,10 @@ def run_workload(ops: DataFrame, loaded: DataFrame) -> DataFrame:
     # keys of the load from the scan's key on: by rank among keys and scans together
     stay = born.where("born < 0").select("key", F.lit(0).alias("k"), F.lit(None).cast("bigint").alias("idx"), F.lit(None).cast("int").alias("scan_length"))
     both = stay.unionByName(scans.select("key", F.lit(1).alias("k"), "idx", "scan_length"))
-    above = F.count_if(F.col("k") == 0).over(Window.orderBy(F.col("key").desc(), "k").rowsBetween(Window.unboundedPreceding, 0))
-    base = both.withColumn("base", above).where("k = 1").select("idx", "key", "scan_length", "base")
+    ordered = running_total(both.withColumn("k2", -F.col("k")), ["key", "k2", "idx"], (F.col("k") == 0).cast("bigint"), "upto")
+    total = stay.select(F.count(F.lit(1)).alias("n")).scalar()
+    # a scan comes before the key it starts from, so all but those before it are at or above
+    base = ordered.where("k = 1").select("idx", "key", "scan_length", (total - F.col("upto")).alias("base"))
     later = born.where("born >= 0").select(F.col("key").alias("bk"), "born")
     short = base.where(F.col("base") < F.col("scan_length"))
     extra = short.join(later, (F.col("bk") >= F.col("key")) & (F.col("born") < F.col("idx"))).groupBy("idx").agg(F.count(F.lit(1)).alias("extra"))
@@ -141,8 +144,8 @@ def read_amplification(keys: DataFrame, runs: DataFrame, samples: int = 1000) ->
     along one ordering of keys and bounds instead of by comparing each key with each run.
     """
     n = keys.select(F.count(F.lit(1)).alias("n")).scalar()
-    ranked = keys.select("key", (F.row_number().over(Window.orderBy("key")) - 1).alias("r"))
+    ranked = running_total(keys.select("key"), ["key"], F.lit(1), "n").select("key", (F.col("n") - 1).alias("r"))
     sampled = ranked.where(F.col("r") % F.greatest(F.lit(1), F.floor(n / samples)) == 0).select("key", F.lit(1).alias("k"), F.lit(0).alias("d"))
     bounds = runs.where("first is not null").select(F.explode(F.array(F.struct(F.col("first").alias("key"), F.lit(0).alias("k"), F.lit(1).alias("d")), F.struct(F.col("last").alias("key"), F.lit(2).alias("k"), F.lit(-1).alias("d")))).alias("e")).select("e.*")
-    open_ = F.sum("d").over(Window.orderBy("key", "k").rowsBetween(Window.unboundedPreceding, 0))
-    return sampled.unionByName(bounds).withColumn("runs", open_).where("k = 1").agg(F.coalesce(F.avg("runs"), F.lit(0.0)).alias("read_amp"))
+    points = sampled.unionByName(bounds).groupBy("key", "k").agg(F.sum("d").cast("bigint").alias("d"), F.count(F.lit(1)).alias("times"))
+    return running_total(points, ["key", "k"], F.col("d"), "runs").where("k = 1").agg(F.coalesce(F.avg("runs"), F.lit(0.0)).alias("read_amp"))
