@@ -6,8 +6,10 @@ the order of recording and is part of the data.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,6 +119,7 @@ def linearize(ops: list[tuple[str, str | None, float, float, bool]]) -> tuple[bo
     return False, best, stuck
 
 
+_VERDICT_ARROW = pa.schema([("key", pa.string()), ("first_idx", pa.int64()), ("n_ops", pa.int32()), ("verdict", pa.string()), ("prefix", pa.list_(pa.int64())), ("stuck", pa.list_(pa.int64()))])
 _VERDICT = "key string, first_idx bigint, n_ops int, verdict string, prefix array<bigint>, stuck array<bigint>"
 
 
@@ -132,15 +135,19 @@ def linearizability(history: DataFrame, max_operations: int = MAX_OPERATIONS) ->
     empty = F.expr("cast(array() as array<bigint>)")
     large = sizes.where(F.col("n_ops") > max_operations).select("key", "first_idx", "n_ops", F.lit("INCONCLUSIVE").alias("verdict"), empty.alias("prefix"), empty.alias("stuck"))
 
-    def check(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        unknown = (pdf["result"] == "UNKNOWN").to_numpy()
-        ops = [(t, None if v is None or v != v else v, s, np.inf if u else e, bool(u)) for t, v, s, e, u in zip(pdf["type"], pdf["value"], pdf["start_ms"], pdf["end_ms"], unknown)]
-        ok, order, stuck = linearize(ops)
-        idx = pdf["idx"].tolist()
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "first_idx": [idx[0]], "n_ops": [len(ops)], "verdict": ["LINEARIZABLE" if ok else "VIOLATION"], "prefix": [[idx[i] for i in order] if not ok else []], "stuck": [[idx[i] for i in stuck]]})
-
-    small = ops.join(sizes.where(F.col("n_ops") <= max_operations).select("key"), "key", "left_semi").groupBy("key").applyInPandas(check, _VERDICT)
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                rows = [(o["type"], o["value"], o["start_ms"], np.inf if o["u"] else o["end_ms"], o["u"]) for o in r["ops"]]
+                ok, order, stuck = linearize(rows)
+                idx = [o["idx"] for o in r["ops"]]
+                out.append({"key": r["key"], "first_idx": idx[0], "n_ops": len(idx), "verdict": "LINEARIZABLE" if ok else "VIOLATION", "prefix": [] if ok else [idx[i] for i in order], "stuck": [idx[i] for i in stuck]})
+            yield pa.RecordBatch.from_pylist(out, schema=_VERDICT_ARROW)
+
+    # a key's operations, bounded above, are one row: groups of their own would each cost a call
+    op = F.struct("idx", "type", "value", "start_ms", "end_ms", (F.col("result") == "UNKNOWN").alias("u"))
+    small = ops.join(sizes.where(F.col("n_ops") <= max_operations).select("key"), "key", "left_semi").groupBy("key").agg(F.sort_array(F.collect_list(op)).alias("ops")).mapInArrow(check, _VERDICT)
     return small.unionByName(large)
 
 

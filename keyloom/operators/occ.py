@@ -7,6 +7,8 @@ version. A key's counter outlives its deletion.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,25 +45,43 @@ class KeyState:
         return True
 
 
+_COLUMNS = ["key", "idx", "op", "success", "version", "value"]
+
+
+def _step(state: KeyState, k, i, op, v, e) -> tuple:  # noqa: ANN001
+    """One request's result. A failed request reports the version it met, 0 if there is none."""
+    ok = state.apply(op, None if v is None or v != v else v, None if e is None or e != e else int(e))
+    return k, i, op, ok, state.version if state.present else 0, state.value if state.present else None
+
+
 def fold_rows(state: KeyState, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Results of a key's requests in order. A failed request reports the version it met, 0 if there is none."""
+    """Results of one key's requests in order."""
     pdf = pdf.sort_values("idx")
-    out = []
-    for k, i, op, v, e in zip(pdf["key"], pdf["idx"], pdf["op"], pdf["value"], pdf["expected"]):
-        ok = state.apply(op, None if v is None or v != v else v, None if e is None or e != e else int(e))
-        out.append((k, i, op, ok, state.version if state.present else 0, state.value if state.present else None))
-    return pd.DataFrame(out, columns=["key", "idx", "op", "success", "version", "value"])
+    out = [_step(state, *r) for r in zip(pdf["key"], pdf["idx"], pdf["op"], pdf["value"], pdf["expected"])]
+    return pd.DataFrame(out, columns=_COLUMNS)
 
 
 def apply_requests(requests: DataFrame) -> DataFrame:
     """(key, idx, op, success, version, value) per request; each step depends on the one before, so a key is folded in order.
 
+    Rows come sorted by key and idx and are folded as they pass, so a key of any length needs no more than its state.
     Keys with nothing but sets need no fold and stay in the JVM; there the version is a row number.
     """
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, KeyState()
+        for b in batches:
+            out = []
+            for k, i, op, v, e in zip(b["key"], b["idx"], b["op"], b["value"], b["expected"]):
+                if k != key:
+                    key, state = k, KeyState()
+                out.append(_step(state, k, i, op, v, e))
+            yield pd.DataFrame(out, columns=_COLUMNS)
+
     conditional = requests.where("op <> 'SET'").select("key").distinct()
     plain = requests.join(conditional, "key", "left_anti")
     easy = set_versions(plain).select("key", "idx", F.lit("SET").alias("op"), F.lit(True).alias("success"), "version", "value")
-    hard = requests.join(conditional, "key", "left_semi").groupBy("key").applyInPandas(lambda pdf: fold_rows(KeyState(), pdf), RESULT)
+    hard = requests.join(conditional, "key", "left_semi").select("key", "idx", "op", "value", "expected").repartition("key").sortWithinPartitions("key", "idx").mapInPandas(fold, RESULT)
     return easy.unionByName(hard)
 
 

@@ -82,7 +82,8 @@ def replay(records: DataFrame) -> DataFrame:
     its own, and no later SNAPSHOT covers it: suffix minima and maxima over the log.
     """
     up_to = Window.orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)  # one node's log is one file
-    later = Window.orderBy("offset").rowsBetween(1, Window.unboundedFollowing)
+    # what comes later, as what came before in the reverse order: frames that end at the last row are summed anew for every row
+    later = Window.orderBy(F.col("offset").desc()).rowsBetween(Window.unboundedPreceding, -1)
     base = F.coalesce(F.max(F.when(F.col("kind") == "SNAPSHOT", F.col("idx"))).over(up_to), F.lit(0))
     live = records.withColumn("base", base).where((F.col("kind") != "ENTRY") | (F.col("idx") > F.col("base")))
     cut = F.min(F.when(F.col("kind").isin("ENTRY", "TRUNCATE"), F.col("idx"))).over(later)
