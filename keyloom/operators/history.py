@@ -182,10 +182,10 @@ def failing_prefix(history: DataFrame, found: DataFrame) -> DataFrame:
     return cut.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("idx", label.alias("l")))).alias("o")).select("key", F.concat_ws(" -> ", F.transform("o", lambda x: x["l"])).alias("prefix"))
 
 
-def audit_acknowledged(ledger: DataFrame, state: DataFrame, checked: DataFrame) -> DataFrame:
+def audit_acknowledged(writes: DataFrame, state: DataFrame, checked: DataFrame) -> DataFrame:
     """(acknowledged, present, missing, unchecked): acknowledged writes (key, value, result) against the state (key, value);
     keys never read back (not in ``checked``) are apart from those found missing, and unknown outcomes don't count."""
-    a = ledger.where(F.col("result") == "SUCCESS").select("key", "value")
+    a = writes.where(F.col("result") == "SUCCESS").select("key", "value")
     j = a.join(state.select("key", F.col("value").alias("found")), "key", "left").join(checked.select("key", F.lit(True).alias("was")).distinct(), "key", "left")
     hit = F.col("found").eqNullSafe(F.col("value")) & F.col("found").isNotNull()
     return j.agg(

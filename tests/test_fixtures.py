@@ -253,9 +253,9 @@ def test_linearize_against_permutations(raw):
 def test_prefix_and_audit(spark):
     h = hist(spark, *second(("W", "a"), ("W", "b"), ("R", "a"), ("R", "b")))
     assert history.failing_prefix(h, history.stale_reads(h)).collect()[0].prefix == "WRITE a -> WRITE b -> READ a"
-    ledger = spark.createDataFrame([("a", "1", "SUCCESS"), ("b", "1", "SUCCESS"), ("c", "1", "SUCCESS"), ("d", "1", "UNKNOWN")], "key string, value string, result string")
+    writes = spark.createDataFrame([("a", "1", "SUCCESS"), ("b", "1", "SUCCESS"), ("c", "1", "SUCCESS"), ("d", "1", "UNKNOWN")], "key string, value string, result string")
     state = spark.createDataFrame([("a", "1")], "key string, value string")
-    r = history.audit_acknowledged(ledger, state, spark.createDataFrame([("a",), ("b",), ("d",)], "key string")).collect()[0]
+    r = history.audit_acknowledged(writes, state, spark.createDataFrame([("a",), ("b",), ("d",)], "key string")).collect()[0]
     assert tuple(r) == (3, 1, 1, 1)
 
 
