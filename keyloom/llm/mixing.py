@@ -85,9 +85,9 @@ def mix(docs: DataFrame, targets: DataFrame, *, total_tokens: int | None = None,
     spark = docs.sparkSession
     names = sorted(wanted)
     known = spark.createDataFrame([(c,) for c in names], "c string")
-    sized = docs.select("doc_id", canonical_source(F.col("source")).alias("c"), F.col("n_tokens").cast("bigint").alias("n")).where("n > 0")
-    # bounded by the check above
-    sized = stage(sized.join(F.broadcast(known), "c"), "mix-sizes")
+    sized = docs.select("doc_id", canonical_source(F.col("source")).alias("c"), F.col("n_tokens").cast("bigint").alias("n"))
+    # the targets are bounded by the check above; staged before the filter on n, which would count a text's tokens once more
+    sized = stage(sized.join(F.broadcast(known), "c"), "mix-sizes").where("n > 0")
     have_total = sized.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     shards = int(min(MAX_SHARDS, max(1, -(-have_total // shard_tokens))))
     # a document's place in the drawn order and its shard come from independent hashes
