@@ -479,5 +479,5 @@ def label_languages(docs: DataFrame, languages: DataFrame, *, per_label: int = 8
 def wrong_or_missing(labelled: DataFrame, least: float = COUNTS_FROM) -> DataFrame:
     """(doc_id, lang, share, confidence): the languages that count of each notebook whose label is missing or wrong or whose prose is mixed."""
     count = labelled.withColumn("langs", F.filter("langs", lambda x: x["share"] >= least)).where(F.size("langs") > 0)
-    case = F.col("label_code").isNull() | (F.size("langs") > 1) | (F.col("langs")[0]["lang"] != F.col("label_code"))
+    case = F.col("label_code").isNull() | (F.size("langs") > 1) | (F.get("langs", F.lit(0))["lang"] != F.col("label_code"))
     return count.where(case).select("doc_id", F.explode("langs").alias("l")).select("doc_id", "l.lang", "l.share", "l.confidence")

@@ -82,7 +82,7 @@ def p8_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each notebook's language, how sure it is, and what its label said."""
-    top = F.col("langs")[0]
+    top = F.get("langs", F.lit(0))  # null for a notebook without prose
     return _labelled(spark, sf_dir, stretches=False).select("doc_id", "label", "label_code", top["lang"].alias("lang"), top["share"].alias("share"), top["confidence"].alias("confidence"))
 
 
