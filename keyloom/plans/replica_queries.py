@@ -163,8 +163,8 @@ def qr14_completion(spark: SparkSession, sf: str) -> DataFrame:
     return quorum.completion(derive.replica_acks(spark, sf), 3, 60)
 
 
-def _history(spark: SparkSession, sf: str, split: bool = False) -> DataFrame:
-    return derive.op_history(spark, sf, F.concat(F.lit("u"), "user_id", F.lit("/"), F.expr("event_id div 2000")) if split else None)
+def _history(spark: SparkSession, sf: str) -> DataFrame:
+    return derive.op_history(spark, sf)
 
 
 def ck1_stale_reads(spark: SparkSession, sf: str) -> DataFrame:
@@ -189,7 +189,7 @@ def ck5_by_type(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ck6_linearizability(spark: SparkSession, sf: str) -> DataFrame:
-    return history.linearizability(_history(spark, sf, split=True)).select("key", "first_idx", "n_ops", "verdict")
+    return history.linearizability(_history(spark, sf)).select("key", "first_idx", "n_ops", "verdict")
 
 
 def ck7_inconclusive(spark: SparkSession, sf: str) -> DataFrame:
@@ -198,7 +198,7 @@ def ck7_inconclusive(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ck8_witness(spark: SparkSession, sf: str) -> DataFrame:
-    v = history.first_violation(history.linearizability(_history(spark, sf, split=True)))
+    v = history.first_violation(history.linearizability(_history(spark, sf)))
     return v.select("key", F.concat_ws(",", F.transform("prefix", lambda x: x.cast("string"))).alias("prefix"), F.concat_ws(",", F.transform("stuck", lambda x: x.cast("string"))).alias("stuck"))
 
 
@@ -213,7 +213,7 @@ def ck10_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ck11_failing_prefix(spark: SparkSession, sf: str) -> DataFrame:
-    h = _history(spark, sf, split=True)
+    h = _history(spark, sf)
     return history.failing_prefix(h, history.stale_reads(h))
 
 
@@ -225,7 +225,7 @@ def ck12_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ck13_tally(spark: SparkSession, sf: str) -> DataFrame:
-    return history.verdict_tally(history.linearizability(_history(spark, sf, split=True)))
+    return history.verdict_tally(history.linearizability(_history(spark, sf)))
 
 
 QUERIES = {
