@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from keyloom.operators.lsm import newest_wins
 
@@ -14,62 +19,91 @@ def _command() -> Column:
     return F.struct("op", "key", "value")
 
 
-def apply_at_most_once(log: DataFrame) -> DataFrame:
+def _folded(log: DataFrame, max_sessions: int) -> DataFrame:
+    """The outcomes by an ordered fold in one task, which holds at most ``max_sessions`` sessions and sorts on disk if need be."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: OrderedDict[str, tuple] = OrderedDict()  # client: (seq, command), least recently used first
+        for b in batches:
+            out = []
+            for client, seq, *command in zip(*(b.column(c).to_pylist() for c in ("client", "seq", "op", "key", "value"))):
+                last = kept.get(client)
+                if last is not None and seq <= last[0]:
+                    out.append("STALE" if seq < last[0] else "DUPLICATE" if command == last[1] else "CONFLICT")
+                else:
+                    out.append("APPLIED")
+                    kept[client] = (seq, command)
+                if out[-1] in ("APPLIED", "DUPLICATE"):
+                    kept.move_to_end(client)
+                    if len(kept) > max_sessions:
+                        kept.popitem(last=False)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "outcome"])
+
+    schema = StructType([*log.schema.fields, StructField("outcome", StringType())])
+    return log.repartition(1).sortWithinPartitions("idx").mapInArrow(fold, schema)
+
+
+def apply_at_most_once(log: DataFrame, max_sessions: int = MAX_SESSIONS) -> DataFrame:
     """``log`` (idx, client, seq, op, key, value) with ``outcome``: APPLIED, DUPLICATE, CONFLICT or STALE.
 
     A client's sequence number counts once: a smaller one is stale, an equal one a duplicate if it is the same command
-    and a conflict if not. Commands are compared themselves, not by a digest. Windows per client and per
-    (client, seq) do it without a fold, exact while no session is evicted; see :func:`sessions`. Empty barrier
-    commands (null op) are skipped.
+    and a conflict if not. Commands are compared themselves, not by a digest. Empty barrier commands (null op) are
+    skipped. Sessions of more than ``max_sessions`` clients are dropped, the one that applied or retried longest ago first,
+    and a client without one is new. Windows per client and per (client, seq) do it without a fold while no session
+    is evicted, which is counted first; else the log is folded in order.
     """
+    commands = log.where(F.col("op").isNotNull())
+    if evicts(commands, max_sessions).first().evicts:
+        return _folded(commands, max_sessions)
     before = Window.partitionBy("client").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     first = F.first(_command()).over(Window.partitionBy("client", "seq").orderBy("idx"))
-    marked = log.where(F.col("op").isNotNull()).withColumn("__mx", F.max("seq").over(before)).withColumn("__first", first)
+    marked = commands.withColumn("__mx", F.max("seq").over(before)).withColumn("__first", first)
     same = F.col("__first").eqNullSafe(_command())
     outcome = F.when(F.col("__mx").isNull() | (F.col("seq") > F.col("__mx")), "APPLIED").when(F.col("seq") < F.col("__mx"), "STALE").when(same, "DUPLICATE").otherwise("CONFLICT")
     return marked.withColumn("outcome", outcome).drop("__mx", "__first")
 
 
-def applied(log: DataFrame) -> DataFrame:
-    return apply_at_most_once(log).where("outcome = 'APPLIED'").drop("outcome")
+def applied(log: DataFrame, max_sessions: int = MAX_SESSIONS) -> DataFrame:
+    return apply_at_most_once(log, max_sessions).where("outcome = 'APPLIED'").drop("outcome")
 
 
-def state_after(log: DataFrame) -> DataFrame:
+def state_after(log: DataFrame, max_sessions: int = MAX_SESSIONS) -> DataFrame:
     """(key, value, version): the map after the log; the version is the writer's index."""
-    rows = applied(log).withColumn("value", F.when(F.col("op") == "PUT", F.col("value")))
+    rows = applied(log, max_sessions).withColumn("value", F.when(F.col("op") == "PUT", F.col("value")))
     return newest_wins(rows, seq="idx", drop_tombstones=True).withColumnRenamed("seq", "version")
 
 
-def command_results(log: DataFrame) -> DataFrame:
+def command_results(log: DataFrame, max_sessions: int = MAX_SESSIONS) -> DataFrame:
     """(idx, op, result, existed) of applied commands: a put gives its value, a delete what was there; an empty value counts as not existing."""
-    rows = applied(log).withColumn("value", F.when(F.col("op") == "PUT", F.col("value")))
+    rows = applied(log, max_sessions).withColumn("value", F.when(F.col("op") == "PUT", F.col("value")))
     prev = F.lag("value").over(Window.partitionBy("key").orderBy("idx"))
     out = rows.withColumn("prev", prev)
     return out.select("idx", "op", F.when(F.col("op") == "PUT", F.col("value")).otherwise(F.coalesce("prev", F.lit(""))).alias("result"), F.when(F.col("op") == "DELETE", F.coalesce(F.length("prev") > 0, F.lit(False))).alias("existed"))
 
 
-def sessions(log: DataFrame, max_sessions: int = MAX_SESSIONS) -> DataFrame:
-    """(client, last_seq, applied_idx, last_used) after the log: the ``max_sessions`` clients that applied or retried last.
-
-    Exact if no evicted client comes back, which :func:`evicts` tells.
-    """
-    out = apply_at_most_once(log)
-    per = out.groupBy("client").agg(
-        F.max("seq").alias("last_seq"), F.max(F.when(F.col("outcome") == "APPLIED", F.col("idx"))).alias("applied_idx"),
+def _sessions(log: DataFrame, max_sessions: int) -> DataFrame:
+    """The sessions left: of the ``max_sessions`` clients that applied or retried last, as each of those is held until so many others did."""
+    was = F.when(F.col("outcome") == "APPLIED", F.col("idx"))
+    per = apply_at_most_once(log, max_sessions).groupBy("client").agg(
+        F.max_by("seq", was).alias("last_seq"), F.max_by(_command(), was).alias("cmd"), F.max(was).alias("applied_idx"),
         F.max(F.when(F.col("outcome").isin("APPLIED", "DUPLICATE"), F.col("idx"))).alias("last_used"),
     )
     return per.orderBy(F.col("last_used").desc()).limit(max_sessions)
 
 
+def sessions(log: DataFrame, max_sessions: int = MAX_SESSIONS) -> DataFrame:
+    """(client, last_seq, applied_idx, last_used) after the log: the ``max_sessions`` clients that applied or retried last."""
+    return _sessions(log, max_sessions).drop("cmd")
+
+
 def evicts(log: DataFrame, max_sessions: int = MAX_SESSIONS) -> DataFrame:
     """(clients, evicts): whether the log has more clients than sessions are kept for."""
     return log.select(F.count_distinct("client").alias("clients")).withColumn("evicts", F.col("clients") > max_sessions)
 
 
-def request_outcomes(requests: DataFrame, log: DataFrame) -> DataFrame:
+def request_outcomes(requests: DataFrame, log: DataFrame, max_sessions: int = MAX_SESSIONS) -> DataFrame:
     """(client, seq, status) of requests (client, seq, op, key, value) against the final sessions."""
-    out = apply_at_most_once(log).where("outcome = 'APPLIED'")
-    last = out.groupBy("client").agg(F.max("seq").alias("last"), F.max_by(_command(), "seq").alias("cmd"))
+    last = _sessions(log, max_sessions).select("client", F.col("last_seq").alias("last"), "cmd")
     status = F.when(F.col("last").isNull() | (F.col("seq") > F.col("last")), "NOT_APPLIED").when(F.col("seq") < F.col("last"), "STALE").when(F.col("cmd").eqNullSafe(_command()), "APPLIED").otherwise("CONFLICT")
     return requests.join(last, "client", "left").select("client", "seq", "op", "key", "value", status.alias("status"))
 

@@ -1,12 +1,13 @@
 """Queries do the whole job: against brute force or SQL over all rows, where the registered SQL holds a cut or none is there."""
 
 import os
+import random
 from collections import Counter, defaultdict
 
 import pytest
 
 import oracle
-from keyloom.operators import history
+from keyloom.operators import history, replog
 from keyloom.plans import derive, registry
 from keyloom.plans.derive import with_views
 
@@ -37,3 +38,48 @@ def test_linearizability_of_whole_keys(spark, con):
 def test_failing_prefix_of_whole_keys(spark, con):
     sql = registry.ORACLES["ck11_failing_prefix"].replace(derive.SQL["op_history_split"], derive.SQL["op_history"])
     assert oracle.compare("ck11_failing_prefix", run(spark, "ck11_failing_prefix"), con, sql) == ""
+
+
+def lru(log, cap):
+    """Outcomes by idx and the sessions (client, seq, applied idx, last use, command) left, oldest first."""
+    held, out = [], {}
+    for idx, client, seq, *cmd in sorted(log):
+        mine = next((s for s in held if s[0] == client), None)
+        if mine is None or seq > mine[1]:
+            out[idx], new = "APPLIED", (client, seq, idx, idx, cmd)
+        elif seq == mine[1] and cmd == mine[4]:
+            out[idx], new = "DUPLICATE", (*mine[:3], idx, cmd)
+        else:
+            out[idx], new = "STALE" if seq < mine[1] else "CONFLICT", None
+        if new:
+            held = [*(s for s in held if s[0] != client), new][-cap:]
+    return out, held
+
+
+def test_sessions_are_evicted(spark, con):
+    log = con.execute(with_views("raft_log", body="SELECT idx, client, seq, op, key, value FROM raft_log")).fetchall()
+    want = sorted(s[:4] for s in lru(log, 20)[1])
+    assert sorted(map(tuple, run(spark, "rl4_sessions").select("client", "last_seq", "applied_idx", "last_used").collect())) == want
+
+
+@pytest.mark.parametrize("cap", [1, 3, 5, 8])
+def test_at_most_once_against_lru(spark, cap):
+    r = random.Random(cap)
+    log = [(i, f"c{r.randrange(8)}", r.randint(1, 4), "PUT", "k" + str(r.randrange(2)), "v" + str(r.randrange(2))) for i in range(1, 301)]
+    df = spark.createDataFrame(log, "idx bigint, client string, seq bigint, op string, key string, value string").repartition(4)
+    out, held = lru(log, cap)
+    assert {x.idx: x.outcome for x in replog.apply_at_most_once(df, cap).collect()} == out
+    assert sorted(map(tuple, replog.sessions(df, cap).collect())) == sorted(s[:4] for s in held)
+    last = {s[0]: s for s in held}
+
+    def status(client, seq, *cmd):
+        s = last.get(client)
+        return "NOT_APPLIED" if s is None or seq > s[1] else "STALE" if seq < s[1] else "APPLIED" if list(cmd) == s[4] else "CONFLICT"
+
+    got = replog.request_outcomes(df.drop("idx").distinct(), df, cap).collect()
+    assert len(got) == len({x[1:] for x in log}) and all(x.status == status(*tuple(x)[:5]) for x in got)
+    state = {}
+    for idx, _, _, _, key, value in log:
+        if out[idx] == "APPLIED":
+            state[key] = (key, value, idx)
+    assert sorted(map(tuple, replog.state_after(df, cap).select("key", "value", "version").collect())) == sorted(state.values())
