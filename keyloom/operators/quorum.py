@@ -78,7 +78,9 @@ def delete_as_write(rows: DataFrame, keys: DataFrame, coordinator: str) -> DataF
     state = front.groupBy("key").agg(F.max((~F.col("tombstone")).cast("int")).alias("was"))
     from keyloom.operators.siblings import next_clock
 
-    marks = next_clock(front, coordinator).join(state, "key").select(
+    # a key of which only empty clocks are known has no merged clock: the delete is its first event
+    first = F.create_map(F.lit(coordinator), F.lit(1).cast("bigint"))
+    marks = state.join(next_clock(front, coordinator), "key", "left").withColumn("clock", F.coalesce("clock", first)).select(
         "key", F.lit(coordinator).alias("node"), F.lit("").alias("value"), clocks.version_of(F.col("clock")).alias("version"), "clock", F.lit(True).alias("tombstone"), (F.col("was") == 1).alias("existed")
     )
     return rows.select("key", "node", "value", "version", "clock", "tombstone").withColumn("existed", F.lit(None).cast("boolean")).unionByName(marks)

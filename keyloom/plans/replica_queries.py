@@ -117,9 +117,8 @@ def qr7_client_result(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def qr8_delete(spark: SparkSession, sf: str) -> DataFrame:
-    r = _rows(spark, sf).where("size(clock) > 0")
-    keys = r.select("key").distinct().where("length(key) <= 5")
-    return quorum.delete_as_write(r, keys, "a").where("existed is not null").select("key", clocks.canonical(F.col("clock")).alias("clock"), "version", "existed")
+    r = _rows(spark, sf)
+    return quorum.delete_as_write(r, r.select("key").distinct(), "a").where("existed is not null").select("key", clocks.canonical(F.col("clock")).alias("clock"), "version", "existed")
 
 
 def qr9_hints(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import oracle
-from keyloom.operators import history, replog
+from keyloom.operators import history, quorum, replog
 from keyloom.plans import derive, registry
 from keyloom.plans.derive import with_views
 
@@ -83,3 +83,15 @@ def test_at_most_once_against_lru(spark, cap):
         if out[idx] == "APPLIED":
             state[key] = (key, value, idx)
     assert sorted(map(tuple, replog.state_after(df, cap).select("key", "value", "version").collect())) == sorted(state.values())
+
+
+def test_every_key_is_deleted(spark, con):
+    sql = registry.ORACLES["qr8_delete"].replace(" WHERE clock <> '' AND length(key) <= 5", "")
+    assert sql != registry.ORACLES["qr8_delete"]
+    assert oracle.compare("qr8_delete", run(spark, "qr8_delete"), con, sql) == ""
+
+
+def test_delete_of_a_key_without_clocks(spark):
+    r = spark.createDataFrame([("k", "n0", "v", 0, {}, False), ("t", "n0", "", 2, {"b": 2}, True)], "key string, node string, value string, version bigint, clock map<string,bigint>, tombstone boolean")
+    got = quorum.delete_as_write(r, r.select("key"), "a").where("existed is not null").collect()
+    assert sorted((x.key, x.clock, x.version, x.existed) for x in got) == [("k", {"a": 1}, 1, True), ("t", {"a": 1, "b": 2}, 3, False)]
