@@ -95,3 +95,9 @@ def test_delete_of_a_key_without_clocks(spark):
     r = spark.createDataFrame([("k", "n0", "v", 0, {}, False), ("t", "n0", "", 2, {"b": 2}, True)], "key string, node string, value string, version bigint, clock map<string,bigint>, tombstone boolean")
     got = quorum.delete_as_write(r, r.select("key"), "a").where("existed is not null").collect()
     assert sorted((x.key, x.clock, x.version, x.existed) for x in got) == [("k", {"a": 1}, 1, True), ("t", {"a": 1, "b": 2}, 3, False)]
+
+
+def test_only_keys_past_the_bound_are_inconclusive(spark, con):
+    sql = registry.ORACLES["ck7_inconclusive"].replace("> 40", f"> {history.MAX_OPERATIONS}")
+    assert history.MAX_OPERATIONS == 64 and sql != registry.ORACLES["ck7_inconclusive"]
+    assert oracle.compare("ck7_inconclusive", run(spark, "ck7_inconclusive"), con, sql) == ""
