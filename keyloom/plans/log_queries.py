@@ -125,14 +125,20 @@ def rl15_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return replog.request_outcomes(log.select("client", "seq", "op", "key", "value").distinct(), log)
 
 
+def _last_index(log: DataFrame) -> int:
+    return log.select(F.coalesce(F.max("idx"), F.lit(0)).alias("m")).first().m
+
+
 def sc13_read_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """The map halfway through the log."""
     log = derive.raft_log(spark, sf).withColumn("value", F.when(F.col("op") == "PUT", F.col("value")))
-    return lsm.read_as_of(log, 500)
+    return lsm.read_as_of(log, _last_index(log) // 2)
 
 
 def sk7_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole applied state."""
     log = derive.raft_log(spark, sf).withColumn("value", F.when(F.col("op") == "PUT", F.col("value")))
-    return lsm.snapshot(log, 700)
+    return lsm.snapshot(log, _last_index(log))
 
 
 def occ_requests(spark: SparkSession, sf: str) -> DataFrame:

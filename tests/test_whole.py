@@ -101,3 +101,13 @@ def test_only_keys_past_the_bound_are_inconclusive(spark, con):
     sql = registry.ORACLES["ck7_inconclusive"].replace("> 40", f"> {history.MAX_OPERATIONS}")
     assert history.MAX_OPERATIONS == 64 and sql != registry.ORACLES["ck7_inconclusive"]
     assert oracle.compare("ck7_inconclusive", run(spark, "ck7_inconclusive"), con, sql) == ""
+
+
+def test_snapshot_and_read_scale_with_the_log(spark):
+    sf = "/root/testdata/sf0.01"  # at sf0.001 half of the log is the former constant
+    larger = oracle.connect(sf)
+    last = larger.execute("SELECT max(event_id) + 1 FROM events").fetchone()[0]
+    for name, was, now in (("sk7_snapshot", 700, last), ("sc13_read_as_of", 500, last // 2)):
+        sql = registry.ORACLES[name].replace(str(was), str(now))
+        assert now != was and sql != registry.ORACLES[name]
+        assert oracle.compare(name, registry.QUERIES[name](spark, sf), larger, sql) == ""
