@@ -83,7 +83,7 @@ def lay_out(histogram: dict[int, int], capacities: dict[int, int], tiered: bool)
     """Pack items of the given sizes, each at most the largest capacity.
 
     ``capacities``: kind to capacity. Tiered, an item is packed in its own tier's containers or in a gap of a longer
-    tier; otherwise there must be one kind, and tiers only say in which order the gaps are filled.
+    tier; otherwise there must be one kind, and this is plain best fit decreasing.
     """
     sizes = sorted(histogram, reverse=True)
     base, total = {}, 0
