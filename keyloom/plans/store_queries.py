@@ -144,12 +144,13 @@ def bf2_bits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bf3_probe(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers tested against a filter of suppliers' names and their own: no false negatives."""
-    m, k = bloom.sizing(20_000, 0.01)
-    c = table(spark, sf, "customer")
-    b = bloom.build(c.where("c_custkey % 2 = 0"), "c_name", m, k)
-    hit = bloom.probe(c, "c_name", b, m, k)
-    return hit.where("c_custkey % 2 = 0").agg(F.count_if(F.col("might_contain")).alias("found"), F.count_if(~F.col("might_contain")).alias("lost"))
+    """A filter of all customers' names, sized by their number: members found and lost, and false positives among the suppliers."""
+    c = table(spark, sf, "customer").select(F.col("c_name").alias("name")).where("name IS NOT NULL")
+    s = table(spark, sf, "supplier").select(F.col("s_name").alias("name")).where("name IS NOT NULL").join(c, "name", "left_anti")
+    m, k = bloom.sizing(max(1, c.count()), 0.01)
+    hit = bloom.probe(c.withColumn("member", F.lit(True)).unionByName(s.withColumn("member", F.lit(False))), "name", bloom.build(c, "name", m, k), m, k)
+    member, said = F.col("member"), F.col("might_contain")
+    return hit.agg(F.count_if(member & said).alias("found"), F.count_if(member & ~said).alias("lost"), F.count_if(~member & said).alias("false_positives"), F.count_if(~member).alias("non_members"))
 
 
 def am1_amplification(spark: SparkSession, sf: str) -> DataFrame:

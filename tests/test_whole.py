@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import oracle
-from keyloom.operators import history, quorum, replog
+from keyloom.operators import bloom, history, quorum, replog
 from keyloom.plans import derive, registry
 from keyloom.plans.derive import with_views
 
@@ -111,3 +111,12 @@ def test_snapshot_and_read_scale_with_the_log(spark):
         sql = registry.ORACLES[name].replace(str(was), str(now))
         assert now != was and sql != registry.ORACLES[name]
         assert oracle.compare(name, registry.QUERIES[name](spark, sf), larger, sql) == ""
+
+
+def test_probe_counts_members_and_others(spark, con):
+    members, others = ([x for (x,) in con.execute(f"SELECT {c} FROM {t}").fetchall()] for c, t in (("c_name", "customer"), ("s_name", "supplier")))
+    m, k = bloom.sizing(len(members), 0.01)
+    held = set(bloom.positions(members, m, k).ravel().tolist())
+    wrong = sum(held.issuperset(x) for x in bloom.positions(others, m, k).T.tolist())
+    got = run(spark, "bf3_probe").collect()[0].asDict()
+    assert got == {"found": len(members), "lost": 0, "false_positives": wrong, "non_members": len(others)}
