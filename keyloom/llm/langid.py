@@ -42,7 +42,7 @@ CODES = {
 }
 
 BUCKETS = 1 << 15
-WINDOW, CONTEXT = 192, 24  # words labelled at a time, and those read before and after them
+WINDOW = 192  # words of a sequence that the model is fitted on
 COUNTS_FROM = 0.2
 KNOWN_WORDS = 200_000
 
@@ -307,32 +307,9 @@ def fit(texts: list[list[str]], labels: list[str], codes: list[str], passes: int
     return Model(codes, weights.astype(np.float32), trans, start)
 
 
-def _windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows over sequences laid end to end: (first word read, words read, first word kept - as offset, then kept count)."""
-    out = []
-    at = 0
-    for n in lengths.tolist():
-        for lo in range(0, n, WINDOW):
-            hi = min(n, lo + WINDOW)
-            a, b = max(0, lo - CONTEXT), min(n, hi + CONTEXT)
-            out.append((at + a, b - a, at + lo, hi - lo))
-        at += n
-    return np.array(out, np.int64).reshape(-1, 4)
-
-
 def label_words(model: Model, vocab: Vocabulary, rows: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Label probabilities of every word. Long notebooks are read in windows that overlap: words this far apart hardly bear on each other."""
-    emit = vocab.scores[rows]
-    if not len(lengths) or lengths.max(initial=0) <= WINDOW + CONTEXT:
-        return marginals(emit, begins, lengths[lengths > 0], model.transitions, model.start)[0]
-    wins = _windows(lengths)
-    spans = np.concatenate([np.arange(a, a + n) for a, n, _, _ in wins.tolist()])
-    p = marginals(emit[spans], begins[spans], wins[:, 1], model.transitions, model.start)[0]
-    out = np.empty_like(p, shape=(len(rows), p.shape[1]))
-    ends = np.cumsum(wins[:, 1]) - wins[:, 1]
-    for (a, _, kept, n), o in zip(wins.tolist(), ends.tolist()):
-        out[kept : kept + n] = p[o + kept - a : o + kept - a + n]
-    return out
+    """Label probabilities of every word, by forward-backward over each whole notebook: what lies beside it in the batch has no part in it."""
+    return marginals(vocab.scores[rows], begins, lengths[lengths > 0], model.transitions, model.start)[0]
 
 
 def markdown_bodies(text: str | None, kinds: list, froms: list, tos: list) -> list[tuple[int, str]]:

@@ -115,6 +115,17 @@ def test_windows_change_nothing_that_matters(monkeypatch):
     assert np.abs(langid.label_words(model, vocab, rows, begins, lengths) - exact).max() < 1e-3
 
 
+def test_labels_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(1)
+    model = langid.Model(list("abc"), np.zeros((langid.BUCKETS, 3)), np.stack([np.eye(3) * 5] * 2), np.array([2.0, 0, 0]))
+    vocab = langid.Vocabulary(model.weights)
+    vocab.scores = rng.normal(size=(50, 3)) * 0.1
+    rows, begins = rng.integers(0, 50, 800), rng.random(800) < 0.1
+    alone = langid.label_words(model, vocab, rows[:200], begins[:200], np.array([200]))
+    beside = langid.label_words(model, vocab, rows, begins, np.array([200, 600]))[:200]
+    assert np.allclose(alone, beside, atol=1e-12)
+
+
 def test_markup():
     body = "Text `code` and $x^2$ costs $5\n\n```py\nx = 1\n```\n![alt](a.png) [link](http://x.y/z) <b>bold</b> https://a.b/c $$\na\n$$ end"
     out = blank_markup(body)
