@@ -79,3 +79,28 @@ def serialize(words: np.ndarray, m: int, k: int) -> bytes:
 def deserialize(data: bytes) -> tuple[np.ndarray, int, int]:
     m, k, n = struct.unpack_from(">iii", data)
     return np.frombuffer(data, ">u8", n, 12).astype(np.uint64), m, k
+
+
+def serialized(words: DataFrame, m: int, k: int) -> DataFrame:
+    """(data): a filter's word table as one binary value; its size is bounded by ``m``, itself at most ``MAX_BITS``."""
+
+    def join(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(-(-m // 64), np.uint64)
+        for b in parts:
+            out[b.column(0).to_numpy()] = b.column(1).to_numpy().view(np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array([serialize(out, m, k)], pa.binary())], names=["data"])
+
+    return words.select("word", "bits").repartition(1).mapInArrow(join, "data binary")
+
+
+def parsed(data: Column | str) -> Column:
+    """Bits, hashes, words and bits set of a serialized filter."""
+
+    @F.pandas_udf("bits bigint, hashes int, words bigint, bits_set bigint")
+    def run(s: pd.Series) -> pd.DataFrame:
+        out = []
+        for words, m, k in (deserialize(bytes(x)) for x in s):
+            out.append((m, k, len(words), int(np.unpackbits(words.view(np.uint8)).sum())))
+        return pd.DataFrame(out, columns=["bits", "hashes", "words", "bits_set"]).astype({"hashes": "int32"})
+
+    return run(data)

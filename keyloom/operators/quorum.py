@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.functions import clocks
-from keyloom.operators.siblings import causal_front, resolve
+from keyloom.operators.siblings import causal_front, merge_siblings, next_clock, resolve
 
 
 def config_predicates(configs: DataFrame) -> DataFrame:
@@ -73,14 +73,13 @@ def client_result(rows: DataFrame, policy: str = "WINNER") -> DataFrame:
 
 
 def delete_as_write(rows: DataFrame, keys: DataFrame, coordinator: str) -> DataFrame:
-    """``rows`` and, for each key, a tombstone whose clock is past all of the key's: (…, existed on the tombstones)."""
-    front = rows.join(keys.select("key"), "key", "left_semi")
-    state = front.groupBy("key").agg(F.max((~F.col("tombstone")).cast("int")).alias("was"))
-    from keyloom.operators.siblings import next_clock
-
-    # a key of which only empty clocks are known has no merged clock: the delete is its first event
-    first = F.create_map(F.lit(coordinator), F.lit(1).cast("bigint"))
-    marks = state.join(next_clock(front, coordinator), "key", "left").withColumn("clock", F.coalesce("clock", first)).select(
+    """``rows`` and, for each key, a tombstone whose clock is past all of the key's: (…, existed on the tombstones).
+
+    A key of which only empty clocks are known gets the delete as its first event.
+    """
+    asked = rows.join(keys.select("key"), "key", "left_semi")
+    state = asked.groupBy("key").agg(F.max((~F.col("tombstone")).cast("int")).alias("was"))
+    marks = state.join(next_clock(asked, coordinator), "key").select(
         "key", F.lit(coordinator).alias("node"), F.lit("").alias("value"), clocks.version_of(F.col("clock")).alias("version"), "clock", F.lit(True).alias("tombstone"), (F.col("was") == 1).alias("existed")
     )
     return rows.select("key", "node", "value", "version", "clock", "tombstone").withColumn("existed", F.lit(None).cast("boolean")).unionByName(marks)
@@ -95,8 +94,6 @@ def missing_hints(acks: DataFrame, hedged: DataFrame | None = None) -> DataFrame
 def replay_hints(replicas: DataFrame, hints: DataFrame, reachable: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(replica rows after delivery, counts): each hint (target, key, value, version, clock, tombstone) whose target is
     reachable is merged in, an older clock changing nothing; the others are kept."""
-    from keyloom.operators.siblings import merge_siblings
-
     delivered = hints.join(reachable.select(F.col("node").alias("target")), "target", "left_semi")
     cols = ["key", "value", "version", "clock", "tombstone"]
     at = F.concat_ws("\u0001", "node", "key")

@@ -74,9 +74,10 @@ def resolve(rows: DataFrame, policy: str = "PRESERVE") -> DataFrame:
 
 
 def merged_clock(rows: DataFrame) -> DataFrame:
-    """(key, clock): the greatest counter per node over all of a key's rows."""
-    per = rows.select("key", F.explode("clock").alias("node", "n")).groupBy("key", "node").agg(F.max("n").alias("n"))
-    return per.groupBy("key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("node", "n")))).alias("clock"))
+    """(key, clock): the greatest counter per node over all of a key's rows; empty for a key of which only empty clocks are known."""
+    per = rows.select("key", F.explode_outer("clock").alias("node", "n")).groupBy("key", "node").agg(F.max("n").alias("n"))
+    entries = F.filter(F.collect_list(F.struct("node", "n")), lambda e: e["node"].isNotNull())
+    return per.groupBy("key").agg(F.map_from_entries(F.array_sort(entries)).alias("clock"))
 
 
 def next_clock(rows: DataFrame, coordinator: str) -> DataFrame:

@@ -116,7 +116,7 @@ SQL = {
          (event_id + node) % 5 <> 0 AS has_value, event_id // 7 - CASE WHEN (event_id + node) % 6 = 0 THEN 1 ELSE 0 END AS version
   FROM events, (SELECT unnest(range(5)) AS node))""",
 }
-SQL["op_history"], SQL["op_history_split"] = SQL["op_history"].format(key="'u' || user_id"), SQL["op_history"].format(key="'u' || user_id || '/' || (event_id // 2000)")
+SQL["op_history"] = SQL["op_history"].format(key="'u' || user_id")
 
 
 def with_views(*names: str, body: str) -> str:

@@ -292,8 +292,15 @@ ORACLES = {
     "rl2_state": with_views("raft_log", body=_APPLY + " " + _LWW.format(t="(SELECT * FROM ap WHERE outcome = 'APPLIED')")),
     "rl3_results": with_views("raft_log", body=_APPLY + """, p AS (SELECT *, lag(CASE WHEN op = 'PUT' THEN value END) OVER (PARTITION BY key ORDER BY idx) AS prev FROM ap WHERE outcome = 'APPLIED')
       SELECT idx, op, CASE WHEN op = 'PUT' THEN value ELSE coalesce(prev, '') END AS result, CASE WHEN op = 'DELETE' THEN coalesce(length(prev) > 0, false) END AS existed FROM p"""),
-    "rl4_sessions": with_views("raft_log", body=_APPLY + """ SELECT client, max(seq) AS last_seq, max(idx) FILTER (outcome = 'APPLIED') AS applied_idx, max(idx) FILTER (outcome IN ('APPLIED', 'DUPLICATE')) AS last_used
-      FROM ap GROUP BY client ORDER BY last_used DESC LIMIT 20"""),
+    # a fold over the log with the 20 sessions used last, the one used longest ago in front
+    "rl4_sessions": with_views("raft_log", body=""", f AS (SELECT list_reduce(list_prepend({'s': CAST([] AS STRUCT(client VARCHAR, seq BIGINT, idx BIGINT, used BIGINT, cmd VARCHAR)[]), 'l': CAST(NULL AS STRUCT(client VARCHAR, seq BIGINT, idx BIGINT, used BIGINT, cmd VARCHAR))},
+        list({'s': CAST([] AS STRUCT(client VARCHAR, seq BIGINT, idx BIGINT, used BIGINT, cmd VARCHAR)[]), 'l': {'client': client, 'seq': seq, 'idx': idx, 'used': idx, 'cmd': op || ' ' || key || ' ' || coalesce(value, '')}} ORDER BY idx)),
+        lambda a, x: {'s': CASE
+          WHEN len(list_filter(a.s, lambda h: h.client = x.l.client AND (h.seq > x.l.seq OR (h.seq = x.l.seq AND h.cmd <> x.l.cmd)))) > 0 THEN a.s
+          WHEN len(list_filter(a.s, lambda h: h.client = x.l.client AND h.seq = x.l.seq)) > 0 THEN list_append(list_filter(a.s, lambda h: h.client <> x.l.client),
+            {'client': x.l.client, 'seq': x.l.seq, 'idx': list_filter(a.s, lambda h: h.client = x.l.client)[1].idx, 'used': x.l.idx, 'cmd': x.l.cmd})
+          ELSE list_append(list_filter(a.s, lambda h: h.client <> x.l.client), x.l)[-20:] END, 'l': x.l}).s AS s FROM raft_log)
+      SELECT h.client AS client, h.seq AS last_seq, h.idx AS applied_idx, h.used AS last_used FROM (SELECT unnest(s) AS h FROM f)"""),
     "rl5_replay": _WAL + """, base AS (SELECT *, coalesce(max(CASE WHEN kind = 'SNAPSHOT' THEN idx END) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM wal),
       live AS (SELECT *, min(CASE WHEN kind IN ('ENTRY', 'TRUNCATE') THEN idx END) OVER w AS cut, max(CASE WHEN kind = 'SNAPSHOT' THEN idx END) OVER w AS covered FROM base WHERE kind <> 'ENTRY' OR idx > base
         WINDOW w AS (ORDER BY o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
@@ -322,8 +329,8 @@ ORACLES = {
     "rl15_outcomes": with_views("raft_log", body=_APPLY + """, l AS (SELECT client, max(struct_pack(s := seq, o := op, k := key, v := value)) AS m FROM ap WHERE outcome = 'APPLIED' GROUP BY client)
       SELECT DISTINCT client, seq, op, key, value, CASE WHEN m IS NULL OR seq > m.s THEN 'NOT_APPLIED' WHEN seq < m.s THEN 'STALE' WHEN m.o = op AND m.k = key AND m.v IS NOT DISTINCT FROM value THEN 'APPLIED' ELSE 'CONFLICT' END AS status
       FROM raft_log LEFT JOIN l USING (client)"""),
-    "sc13_read_as_of": with_views("raft_log", body=_LWW.format(t="(SELECT * FROM raft_log WHERE idx <= 500)")),
-    "sk7_snapshot": with_views("raft_log", body="SELECT *, 700 AS last_included_index FROM (" + _LWW.format(t="(SELECT * FROM raft_log WHERE idx <= 700)") + ")"),
+    "sc13_read_as_of": with_views("raft_log", body=_LWW.format(t="(SELECT * FROM raft_log WHERE idx <= (SELECT max(idx) // 2 FROM raft_log))")),
+    "sk7_snapshot": with_views("raft_log", body="SELECT *, (SELECT max(idx) FROM raft_log) AS last_included_index FROM (" + _LWW.format(t="raft_log") + ")"),
     "oc1_set": "SELECT 'u' || user_id AS key, event_id AS idx, 'v' || event_id AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS version FROM events WHERE user_id % 3 = 0 OR event_id % 4 = 0",
     "mx1_operations": _OPS + _METRICS + " SELECT * FROM m",
     "mx2_latency": _OPS + " SELECT node, " + ", ".join(f"{_RANK.format(v='latency_ms', p=p)} AS p{n}" for p, n in ((0.5, 50), (0.95, 95), (0.99, 99))) + " FROM ops GROUP BY node",

@@ -25,7 +25,7 @@ def vc1_increment(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vc2_merge(spark: SparkSession, sf: str) -> DataFrame:
-    m = siblings.merged_clock(_rows(spark, sf).where("size(clock) > 0"))
+    m = siblings.merged_clock(_rows(spark, sf))
     return m.select("key", clocks.canonical(F.col("clock")).alias("clock"))
 
 
@@ -60,7 +60,7 @@ def vc9_version(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vc10_next_clock(spark: SparkSession, sf: str) -> DataFrame:
-    return siblings.next_clock(_rows(spark, sf).where("size(clock) > 0"), "b").select("key", clocks.canonical(F.col("clock")).alias("clock"))
+    return siblings.next_clock(_rows(spark, sf), "b").select("key", clocks.canonical(F.col("clock")).alias("clock"))
 
 
 def vc11_live(spark: SparkSession, sf: str) -> DataFrame:
@@ -244,7 +244,7 @@ def _front(by: str, source: str = "replica_values", key: str = "key") -> str:
 
 _KEPT = _front("tombstone")
 _FREE = _front("version")
-_MERGED = """m AS (SELECT key, max(ca) AS ca, max(cb) AS cb, max(cc) AS cc FROM replica_values WHERE clock <> '' GROUP BY key)"""
+_MERGED = """m AS (SELECT key, max(ca) AS ca, max(cb) AS cb, max(cc) AS cc FROM replica_values GROUP BY key)"""
 _TEXT = "concat_ws(',', CASE WHEN {a} > 0 THEN 'a=' || {a} END, CASE WHEN {b} > 0 THEN 'b=' || {b} END, CASE WHEN {c} > 0 THEN 'c=' || {c} END)"
 _RESOLVED = f"""front AS (SELECT key, value, clock, max(version) AS version, count(*) AS n FROM {_FREE} GROUP BY key, value, clock),
   g AS (SELECT key, count(*) AS survivors, count(DISTINCT clock) AS clocks, max(struct_pack(c := clock, v := value, n := version)) AS w, max(struct_pack(n := version, v := value)) AS l FROM front GROUP BY key)"""
@@ -289,7 +289,7 @@ ORACLES = {
       r AS (SELECT *, survivors > 1 AND clocks > 1 AS conflict, CASE WHEN survivors = 1 THEN w.v ELSE l.v END AS v FROM g)
       SELECT key, CASE WHEN conflict THEN 'CONFLICT' WHEN dead THEN 'ABSENT' ELSE 'VALUE' END AS status, CASE WHEN NOT conflict AND NOT dead THEN v END AS value, CASE WHEN conflict THEN survivors ELSE 1 END AS n_siblings FROM r JOIN dd USING (key)"""),
     "qr8_delete": with_views("replica_values", body="""SELECT key, """ + _TEXT.format(a="(ca + 1)", b="cb", c="cc") + """ AS clock, ca + cb + cc + 1 AS version, existed FROM (
-      SELECT key, max(ca) AS ca, max(cb) AS cb, max(cc) AS cc, bool_or(NOT tombstone) AS existed FROM replica_values WHERE clock <> '' AND length(key) <= 5 GROUP BY key)"""),
+      SELECT key, max(ca) AS ca, max(cb) AS cb, max(cc) AS cc, bool_or(NOT tombstone) AS existed FROM replica_values GROUP BY key)"""),
     "qr9_hints": with_views("replica_acks", body="SELECT req, node FROM replica_acks WHERE is_primary AND NOT ok"),
     "qr10_replay": with_views("replica_values", body=f""", rows_ AS (SELECT node, key, value, version, clock, ca, cb, cc, tombstone FROM replica_values WHERE row_id % 3 <> 0
       UNION ALL SELECT 'n' || ((row_id + 1) % 5), key, value, version, clock, ca, cb, cc, tombstone FROM replica_values WHERE row_id % 3 = 0 AND (row_id + 1) % 5 IN (0, 1, 2))
@@ -307,11 +307,11 @@ ORACLES = {
     "ck3_monotonic": with_views("op_history", body=_MONO),
     "ck4_relevant": with_views("op_history", body="SELECT type, count(*) AS n FROM op_history WHERE result = 'SUCCESS' GROUP BY type"),
     "ck5_by_type": f"SELECT type, count(*) AS n FROM (SELECT type FROM ({with_views('op_history', body=_STALE)}) UNION ALL SELECT type FROM ({with_views('op_history', body=_RYW)}) UNION ALL SELECT type FROM ({with_views('op_history', body=_MONO)})) GROUP BY type",
-    "ck7_inconclusive": with_views("op_history", body="SELECT key, count(*) AS n_ops FROM op_history WHERE result = 'SUCCESS' OR (result = 'UNKNOWN' AND type = 'WRITE') GROUP BY key HAVING count(*) > 40"),
+    "ck7_inconclusive": with_views("op_history", body="SELECT key, count(*) AS n_ops FROM op_history WHERE result = 'SUCCESS' OR (result = 'UNKNOWN' AND type = 'WRITE') GROUP BY key HAVING count(*) > 64"),
     "ck9_outcomes": "SELECT CASE event_id % 5 WHEN 0 THEN 'FAILURE' WHEN 1 THEN 'FAILURE' WHEN 4 THEN 'SUCCESS' ELSE 'UNKNOWN' END AS result, count(*) AS n FROM events GROUP BY 1",
     "ck10_summary": with_views("op_history", body="""SELECT key, count(*) AS ops, count(*) FILTER (type = 'READ') AS reads, count(*) FILTER (type = 'WRITE') AS writes, count(*) FILTER (result = 'FAILURE') AS failures,
       count(*) FILTER (result = 'UNKNOWN') AS unknown, max(end_ms - start_ms) AS slowest_ms FROM op_history GROUP BY key"""),
-    "ck11_failing_prefix": with_views("op_history_split", body=_STALE.replace("SELECT 'STALE_READ'", ", v AS (SELECT 'STALE_READ'") + """),
+    "ck11_failing_prefix": with_views("op_history", body=_STALE.replace("SELECT 'STALE_READ'", ", v AS (SELECT 'STALE_READ'") + """),
       u AS (SELECT key, min(idx) AS upto FROM v GROUP BY key)
       SELECT h.key, string_agg(type || ' ' || coalesce(value, 'null'), ' -> ' ORDER BY idx) AS prefix FROM op_history h JOIN u ON h.key = u.key AND h.idx <= u.upto GROUP BY h.key"""),
     "ck12_audit": with_views("op_history", body=""", l AS (SELECT key, max(struct_pack(i := idx, v := value, r := result)) AS m FROM op_history WHERE type = 'WRITE' GROUP BY key),

@@ -137,10 +137,21 @@ def bf1_sizing(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("n", "p", m.cast("bigint").alias("bits"), k.cast("bigint").alias("hashes"))
 
 
+def _supplier_filter(spark: SparkSession, sf: str) -> tuple[DataFrame, int, int]:
+    names = table(spark, sf, "supplier").select("s_name").where("s_name IS NOT NULL")
+    m, k = bloom.sizing(max(1, names.count()), 0.01)
+    return bloom.build(names, "s_name", m, k), m, k
+
+
 def bf2_bits(spark: SparkSession, sf: str) -> DataFrame:
-    m, k = bloom.sizing(1000, 0.01)
-    b = bloom.build(table(spark, sf, "supplier"), "s_name", m, k)
-    return b.agg(F.sum(F.expr("bit_count(bits)")).cast("bigint").alias("bits_set"), F.count(F.lit(1)).alias("words"))
+    """Bits and words set by a filter of all suppliers' names, sized by their number."""
+    return _supplier_filter(spark, sf)[0].agg(F.sum(F.expr("bit_count(bits)")).cast("bigint").alias("bits_set"), F.count(F.lit(1)).alias("words"))
+
+
+def bf4_serialized(spark: SparkSession, sf: str) -> DataFrame:
+    """The same filter as bytes and read back: its header, its size, and the bits that came through."""
+    words, m, k = _supplier_filter(spark, sf)
+    return bloom.serialized(words, m, k).select(bloom.parsed("data").alias("f"), F.octet_length("data").alias("bytes")).select("f.bits", "f.hashes", "f.words", "f.bits_set", "bytes")
 
 
 def bf3_probe(spark: SparkSession, sf: str) -> DataFrame:
@@ -171,7 +182,7 @@ def am3_bytes(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (mg1_newest_wins, mg1_live, sc1_point_get, sc2_range_scan, sc3_run_lookup, sc4_run_scan, sc5_run_iterator, sc10_limited_scan, sk1_assign_sequence, sk2_flush, sk6_replace_put, mg2_recover, mg3_compact,
-              mg4_swap_runs, mg5_size_tiered, mg6_leveled_l0, mg7_leveled_budget, mg8_overlap, hr1_hash, hr2_ring, hr3_remove_node, hr4_preference, hr5_balance, hr5_movement, hr6_membership, bf1_sizing, bf2_bits, bf3_probe,
+              mg4_swap_runs, mg5_size_tiered, mg6_leveled_l0, mg7_leveled_budget, mg8_overlap, hr1_hash, hr2_ring, hr3_remove_node, hr4_preference, hr5_balance, hr5_movement, hr6_membership, bf1_sizing, bf2_bits, bf3_probe, bf4_serialized,
               am1_amplification, am2_read_amplification, am3_bytes)
 }
 
@@ -200,6 +211,11 @@ f1 AS (SELECT t, {_MUL(_SHIFT('h'), '18397679294719823053')} AS h FROM f0),
 f2 AS (SELECT t, {_MUL(_SHIFT('h'), '14181476777654086739')} AS h FROM f1),
 f3 AS (SELECT t, {_SHIFT('h')} AS h FROM f2),
 hashed AS (SELECT t, CASE WHEN h >= 9223372036854775808::UBIGINT THEN (h::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE h::BIGINT END AS hash FROM f3)"""
+# positions of the double hashing for a filter sized by a table's rows
+_BITS = _HASHED + """,
+sized AS (SELECT *, greatest(1, floor(m / n * ln(2) + 0.5))::BIGINT AS k FROM (SELECT n, ceil(-n * ln(0.01) / power(ln(2), 2))::BIGINT AS m FROM (SELECT greatest(1, count(*)) AS n FROM {table}))),
+halves AS (SELECT t, (hash - (hash & 4294967295)) // 4294967296 AS h1, CASE WHEN hash & 4294967295 >= 2147483648 THEN (hash & 4294967295) - 4294967296 WHEN hash & 4294967295 = 0 THEN 1 ELSE hash & 4294967295 END AS h2 FROM hashed),
+p AS (SELECT t, m, k, ((h1 + i * h2) & 9223372036854775807) % m AS pos FROM halves, sized, range(64) r(i) WHERE i < k)"""
 _RING = "texts AS (SELECT 'node-' || n || '#' || v AS t FROM range({n}) a(n), range(150) b(v)),\n" + _HASHED + ",\nring AS (SELECT hash AS pos, split_part(t, '#', 1) AS node FROM hashed)"
 
 
@@ -250,7 +266,13 @@ ORACLES = {
     "hr6_membership": "SELECT 'kv-node-' || i AS node, i AS node_index, 3 AS replication_factor FROM range(5) t(i)",
     "bf1_sizing": """SELECT n, p, m AS bits, greatest(1, floor(m / n * ln(2) + 0.5))::BIGINT AS hashes FROM (
       SELECT n, p, ceil(-n * ln(p) / power(ln(2), 2))::BIGINT AS m FROM (SELECT CAST(power(10, i) AS BIGINT) AS n FROM range(1, 6) t(i)), (SELECT unnest([0.1::DOUBLE, 0.01::DOUBLE, 0.001::DOUBLE]) AS p))""",
-    "bf3_probe": "SELECT count(*) AS found, 0 AS lost FROM customer WHERE c_custkey % 2 = 0",
+    "bf2_bits": f"WITH texts AS (SELECT DISTINCT s_name AS t FROM supplier WHERE s_name IS NOT NULL),\n{_BITS.format(table='supplier')} SELECT count(DISTINCT pos) AS bits_set, count(DISTINCT pos // 64) AS words FROM p",
+    "bf3_probe": f"""WITH texts AS (SELECT c_name AS t FROM customer WHERE c_name IS NOT NULL UNION SELECT s_name FROM supplier WHERE s_name IS NOT NULL),\n{_BITS.format(table='customer')},
+      held AS (SELECT DISTINCT pos FROM p WHERE t IN (SELECT c_name FROM customer)), said AS (SELECT t, count(held.pos) = count(*) AS hit FROM p LEFT JOIN held USING (pos) GROUP BY t)
+      SELECT (SELECT count(*) FROM customer JOIN said ON c_name = t WHERE hit) AS found, (SELECT count(*) FROM customer JOIN said ON c_name = t WHERE NOT hit) AS lost,
+        (SELECT count(*) FROM supplier JOIN said ON s_name = t WHERE hit AND s_name NOT IN (SELECT c_name FROM customer)) AS false_positives,
+        (SELECT count(*) FROM supplier WHERE s_name NOT IN (SELECT c_name FROM customer)) AS non_members""",
+    "bf4_serialized": f"WITH texts AS (SELECT DISTINCT s_name AS t FROM supplier WHERE s_name IS NOT NULL),\n{_BITS.format(table='supplier')} SELECT any_value(m) AS bits, any_value(k) AS hashes, any_value((m + 63) // 64) AS words, count(DISTINCT pos) AS bits_set, any_value(12 + 8 * ((m + 63) // 64)) AS bytes FROM p",
     "am1_amplification": with_views("mutations", "runs", body=f"""SELECT sstable_bytes, user_bytes, logical_bytes, sstable_bytes / user_bytes AS write_amp, sstable_bytes / logical_bytes AS space_amp FROM (
       SELECT (SELECT sum(size) FROM runs) AS sstable_bytes, (SELECT sum(strlen(key) + coalesce(strlen(value), 0)) FROM mutations) AS user_bytes,
              (SELECT sum(strlen(key) + strlen(value)) FROM ({_NEWEST.format(t='mutations')}) WHERE value IS NOT NULL) AS logical_bytes)"""),
