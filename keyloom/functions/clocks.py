@@ -43,7 +43,7 @@ def happens_before(a: str, b: str) -> Column:
 
 
 def same(a: Column, b: Column) -> Column:
-    return F.array_sort(F.map_entries(a)).eqNullSafe(F.array_sort(F.map_entries(b)))
+    return F.sort_array(F.map_entries(a)).eqNullSafe(F.sort_array(F.map_entries(b)))
 
 
 def concurrent(a: str, b: str) -> Column:
@@ -57,4 +57,4 @@ def version_of(clock: Column) -> Column:
 
 def canonical(clock: Column) -> Column:
     """``n1=c1,n2=c2`` by node: compared as text, so a counter of 10 comes before one of 9."""
-    return F.concat_ws(",", F.transform(F.array_sort(F.map_entries(clock)), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))))
+    return F.concat_ws(",", F.transform(F.sort_array(F.map_entries(clock)), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))))

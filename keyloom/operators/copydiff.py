@@ -17,7 +17,7 @@ PRESENT = "__present"
 
 def canonical_map(clock: Column) -> Column:
     """A map as a text that is equal for equal sets of entries; null stays null, zero entries count."""
-    return F.to_json(F.array_sort(F.map_entries(clock)))
+    return F.to_json(F.sort_array(F.map_entries(clock)))
 
 
 def latest_rows(df: DataFrame, key: str, version: str, fields: Mapping[str, Column]) -> DataFrame:

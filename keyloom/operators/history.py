@@ -179,7 +179,7 @@ def failing_prefix(history: DataFrame, found: DataFrame) -> DataFrame:
     first = found.groupBy("key").agg(F.min("idx").alias("upto"))
     label = F.concat(F.col("type"), F.lit(" "), F.coalesce(F.col("value"), F.lit("null")))
     cut = history.join(first, "key").where(F.col("idx") <= F.col("upto"))
-    return cut.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("idx", label.alias("l")))).alias("o")).select("key", F.concat_ws(" -> ", F.transform("o", lambda x: x["l"])).alias("prefix"))
+    return cut.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("idx", label.alias("l")))).alias("o")).select("key", F.concat_ws(" -> ", F.transform("o", lambda x: x["l"])).alias("prefix"))
 
 
 def audit_acknowledged(writes: DataFrame, state: DataFrame, checked: DataFrame) -> DataFrame:

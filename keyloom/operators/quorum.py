@@ -62,9 +62,7 @@ def inconsistency(answers: DataFrame, value: str = "version") -> DataFrame:
 
 def client_result(rows: DataFrame, policy: str = "WINNER") -> DataFrame:
     """What a client gets per key: (key, status, value, n_siblings). Conflicts show all siblings, a deleted winner is absent."""
-    res = resolve(rows, policy)
-    dead = causal_front(rows).groupBy("key").agg(F.max_by("tombstone", F.struct(clocks.canonical(F.col("clock")), "value", "version")).alias("dead"))
-    both = res.join(dead, "key")
+    both = resolve(rows, policy)
     conflict = F.col("conflict") & F.lit(policy == "PRESERVE")
     return both.select(
         "key", F.when(conflict, "CONFLICT").when(F.col("dead"), "ABSENT").otherwise("VALUE").alias("status"),
@@ -96,9 +94,8 @@ def replay_hints(replicas: DataFrame, hints: DataFrame, reachable: DataFrame) ->
     reachable is merged in, an older clock changing nothing; the others are kept."""
     delivered = hints.join(reachable.select(F.col("node").alias("target")), "target", "left_semi")
     cols = ["key", "value", "version", "clock", "tombstone"]
-    at = F.concat_ws("\u0001", "node", "key")
     rows = replicas.select("node", *cols).unionByName(delivered.select(F.col("target").alias("node"), *cols))
-    merged = merge_siblings(rows.withColumn("real", F.col("key")).withColumn("key", at)).withColumn("node", F.split("key", "\u0001")[0]).withColumn("key", F.col("real")).drop("real")
+    merged = merge_siblings(rows, ("node", "key"))
     counts = hints.join(reachable.select(F.col("node").alias("target"), F.lit(True).alias("up")), "target", "left").agg(
         F.count(F.lit(1)).alias("hints"), F.count_if(F.col("up")).alias("delivered"), F.count_if(F.col("up").isNull()).alias("kept")
     )
@@ -108,8 +105,8 @@ def replay_hints(replicas: DataFrame, hints: DataFrame, reachable: DataFrame) ->
 def repair_plan(rows: DataFrame, preferred: DataFrame) -> DataFrame:
     """(key, node, value, version): for keys with exactly one survivor over all replicas, the preferred nodes that don't hold just it."""
     front = causal_front(rows)
-    single = front.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("value").alias("value"), F.first("version").alias("version"), F.first(F.array_sort(F.map_entries("clock"))).alias("ck")).where("n = 1").drop("n")
-    held = rows.select("key", "node", "value", F.array_sort(F.map_entries("clock")).alias("ck")).groupBy("key", "node").agg(F.collect_set(F.struct("value", "ck")).alias("held"))
+    single = front.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("value").alias("value"), F.first("version").alias("version"), F.first(F.sort_array(F.map_entries("clock"))).alias("ck")).where("n = 1").drop("n")
+    held = rows.select("key", "node", "value", F.sort_array(F.map_entries("clock")).alias("ck")).groupBy("key", "node").agg(F.collect_set(F.struct("value", "ck")).alias("held"))
     targets = preferred.select("key", "node").distinct().join(single, "key").join(held, ["key", "node"], "left")
     exactly = (F.size("held") == 1) & F.array_contains("held", F.struct("value", "ck"))
     return targets.where(~F.coalesce(exactly, F.lit(False))).select("key", "node", "value", "version")

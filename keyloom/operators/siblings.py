@@ -6,38 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.functions import clocks
-
-
-def _front(distinct: DataFrame) -> DataFrame:
-    """Rows whose clock happens before no other clock of their key.
-
-    Clocks are made distinct first, so the theta part of the anti join only meets each clock of a key once; its
-    equality on key keeps it a hash or sort-merge join.
-    """
-    # a clock is tested once, whatever rows carry it
-    cl = distinct.select("key", F.array_sort(F.map_entries("clock")).alias("ck")).distinct().select("key", "ck", F.map_from_entries("ck").alias("clk"))
-    a, b = cl.alias("a"), cl.select(F.col("key").alias("bkey"), F.col("clk").alias("bclk")).alias("b")
-    top = a.join(b, (F.col("key") == F.col("bkey")) & F.expr(clocks.happens_before_sql("clk", "bclk")), "left_anti").select("key", "ck")
-    return distinct.withColumn("ck", F.array_sort(F.map_entries("clock"))).join(top, ["key", "ck"], "left_semi").drop("ck")
+from keyloom.operators.front import causal_front as causal_maxima
 
 
 def _distinct(rows: DataFrame, by: list[str]) -> DataFrame:
-    """One row per key, clock and ``by``; of equal rows the one with the smallest version is kept."""
-    ck = F.array_sort(F.map_entries("clock"))
-    rest = [c for c in rows.columns if c not in ("key", "clock", *by)]
-    g = rows.withColumn("ck", ck).groupBy("key", "ck", *by)
-    agg = g.agg(F.min(F.struct(*(["version"] if "version" in rest else []), *[c for c in rest if c != "version"])).alias("r")) if rest else g.agg(F.lit(1).alias("r"))
-    return agg.select("key", F.map_from_entries("ck").alias("clock"), *by, *[F.col(f"r.{c}").alias(c) for c in rest])
+    """One row per clock and ``by``; of equal rows the one with the smallest version is kept."""
+    rest = [c for c in rows.columns if c != "clock" and c not in by]
+    # a plain minimum is kept in a hash table, one over a struct needs a sort
+    r = F.min(F.struct(*[c for c in ("version",) if c in rest], *[c for c in rest if c != "version"])) if rest != ["version"] else F.struct(F.min("version").alias("version"))
+    g = rows.groupBy(F.sort_array(F.map_entries("clock")).alias("ck"), *by).agg((r if rest else F.lit(1)).alias("r"))
+    return g.select(by[0], F.map_from_entries("ck").alias("clock"), *by[1:], *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
-def merge_siblings(rows: DataFrame) -> DataFrame:
-    """The store's sibling set per key: superseded rows dropped, repeated (clock, tombstone, value) collapsed; equal clocks with other bytes stay."""
-    return _front(_distinct(rows, ["tombstone", "value"]))
+def merge_siblings(rows: DataFrame, per: tuple[str, ...] = ("key",)) -> DataFrame:
+    """The store's sibling set per key (or per ``per``): superseded rows dropped, repeated (clock, tombstone, value) collapsed; equal clocks with other bytes stay."""
+    return causal_maxima(_distinct(rows, [*per, "tombstone", "value"]), list(per), "clock")
 
 
 def causal_front(rows: DataFrame) -> DataFrame:
     """Surviving versions for conflict resolution: like :func:`merge_siblings`, but (value, clock) alone tells rows apart."""
-    return _front(_distinct(rows, ["value"]))
+    if "tombstone" not in rows.columns:
+        return causal_maxima(_distinct(rows, ["key", "value"]), ["key"], "clock")
+    return _distinct(merge_siblings(rows), ["key", "value"])
 
 
 def live(rows: DataFrame) -> DataFrame:
@@ -47,7 +37,7 @@ def live(rows: DataFrame) -> DataFrame:
 def conflicting(rows: DataFrame) -> DataFrame:
     """The survivors of keys with more than one of them, some pair concurrent. Survivors of unequal clocks are concurrent."""
     front = causal_front(rows)
-    several = front.groupBy("key").agg(F.count_distinct(F.array_sort(F.map_entries("clock"))).alias("n")).where("n > 1").select("key")
+    several = front.groupBy("key").agg(F.count_distinct(F.sort_array(F.map_entries("clock"))).alias("n")).where("n > 1").select("key")
     return front.join(several, "key", "left_semi")
 
 
@@ -62,22 +52,23 @@ def deterministic_winner(rows: DataFrame) -> DataFrame:
 
 def resolve(rows: DataFrame, policy: str = "PRESERVE") -> DataFrame:
     """(key, survivors, conflict, value, version): one survivor is the value; concurrent ones give none (PRESERVE) or
-    the deterministic winner (WINNER); otherwise the greatest version."""
+    the deterministic winner (WINNER); otherwise the greatest version. Rows with a tombstone give ``dead`` too, the deterministic winner's."""
     front = causal_front(rows)
+    marks = [F.max_by("tombstone", winner_order()).alias("dead")] if "tombstone" in rows.columns else []
     g = front.groupBy("key").agg(
-        F.count(F.lit(1)).alias("survivors"), F.count_distinct(F.array_sort(F.map_entries("clock"))).alias("clocks"),
-        F.max_by(F.struct("value", "version"), winner_order()).alias("w"), F.max_by(F.struct("value", "version"), F.struct("version", "value")).alias("latest"),
+        F.count(F.lit(1)).alias("survivors"), F.count_distinct(F.sort_array(F.map_entries("clock"))).alias("clocks"),
+        F.max_by(F.struct("value", "version"), winner_order()).alias("w"), F.max_by(F.struct("value", "version"), F.struct("version", "value")).alias("latest"), *marks,
     )
     conflict = (F.col("survivors") > 1) & (F.col("clocks") > 1)
     chosen = F.when(F.col("survivors") == 1, F.col("w")).when(conflict, F.col("w") if policy == "WINNER" else F.lit(None)).otherwise(F.col("latest"))
-    return g.select("key", "survivors", conflict.alias("conflict"), chosen["value"].alias("value"), chosen["version"].alias("version"))
+    return g.select("key", "survivors", conflict.alias("conflict"), chosen["value"].alias("value"), chosen["version"].alias("version"), *(["dead"] if marks else []))
 
 
 def merged_clock(rows: DataFrame) -> DataFrame:
     """(key, clock): the greatest counter per node over all of a key's rows; empty for a key of which only empty clocks are known."""
     per = rows.select("key", F.explode_outer("clock").alias("node", "n")).groupBy("key", "node").agg(F.max("n").alias("n"))
     entries = F.filter(F.collect_list(F.struct("node", "n")), lambda e: e["node"].isNotNull())
-    return per.groupBy("key").agg(F.map_from_entries(F.array_sort(entries)).alias("clock"))
+    return per.groupBy("key").agg(F.map_from_entries(F.sort_array(entries)).alias("clock"))
 
 
 def next_clock(rows: DataFrame, coordinator: str) -> DataFrame:
@@ -95,8 +86,8 @@ def client_scan(siblings: DataFrame, start: str | None = None, end: str | None =
 
 def as_sets(rows: DataFrame) -> DataFrame:
     """(key, siblings): a key's rows as one array, in canonical order."""
-    s = F.struct(clocks.canonical(F.col("clock")).alias("c"), "value", "version", "tombstone", F.array_sort(F.map_entries("clock")).alias("clock"))
-    return rows.groupBy("key").agg(F.array_sort(F.collect_list(s)).alias("siblings"))
+    s = F.struct(clocks.canonical(F.col("clock")).alias("c"), "value", "version", "tombstone", F.sort_array(F.map_entries("clock")).alias("clock"))
+    return rows.groupBy("key").agg(F.sort_array(F.collect_list(s)).alias("siblings"))
 
 
 def scalar(sets: DataFrame) -> DataFrame:

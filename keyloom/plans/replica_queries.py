@@ -48,7 +48,7 @@ def vc6_conflicts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vc7_resolve(spark: SparkSession, sf: str) -> DataFrame:
-    return siblings.resolve(_rows(spark, sf).select("key", "value", "version", "clock", "tombstone"), "PRESERVE")
+    return siblings.resolve(_rows(spark, sf).select("key", "value", "version", "clock", "tombstone"), "PRESERVE").drop("dead")
 
 
 def vc8_winner(spark: SparkSession, sf: str) -> DataFrame:
