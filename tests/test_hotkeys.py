@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from keyloom.operators import hotkeys
 from keyloom.operators.hotkeys import dense_key_stats, hot_keys
 
@@ -46,7 +48,8 @@ def test_flush_of_full_arrays_changes_nothing(spark, monkeypatch):
     monkeypatch.setattr(hotkeys, "FLUSH_KEYS", 20)
     monkeypatch.setattr(hotkeys, "FLUSH_PAIRS", 200)
     parts = list(hotkeys._split(batch(lo) for lo in range(0, 5000, 500)))
-    out = pa.Table.from_batches(list(hotkeys._reduce(iter(parts)))).to_pylist()
+    whole = pa.Table.from_batches(parts).sort_by([("k", "ascending"), ("c", "ascending")])
+    out = pa.Table.from_batches(list(hotkeys._reduce(iter(whole.combine_chunks().to_batches(max_chunksize=13))))).to_pylist()
     assert {r["k"]: (r["n"], r["nc"], r["s"], r["o"], r["v"]) for r in out} == brute(data)
 
 
@@ -58,3 +61,32 @@ def test_hot_keys_and_edges(spark):
     one = spark.createDataFrame([("x" * 100_000, 1), ("x" * 100_000, 1)], "key string, id bigint")
     r = dense_key_stats(one, "key", order="id").collect()
     assert len(r) == 1 and r[0].n == 2 and r[0].n_clients == 0 and r[0].latest_value is None
+
+
+def test_reduce_is_linear_in_the_pairs():
+    """Three times the pairs take less than four times the time, with the clients of one hot key among them."""
+    import time
+
+    import pyarrow as pa
+
+    def took(n):
+        none, zero = pa.nulls(10_000, pa.int64()), pa.array([0] * 10_000, pa.int64())
+        key = pa.array(["hot"] * 10_000)
+        blocks = (pa.RecordBatch.from_arrays([key, pa.array(np.arange(lo, lo + 10_000)).cast(pa.string()), zero, zero, none, none, pa.nulls(10_000, pa.binary())], schema=hotkeys._PARTIAL) for lo in range(0, n, 10_000))
+        t = time.time()
+        got = [r for b in hotkeys._reduce(blocks) for r in b.to_pylist()]
+        assert got == [{"k": "hot", "c": None, "n": 0, "nc": n, "s": None, "o": None, "v": None}]
+        return time.time() - t
+
+    took(100_000)
+    assert took(3_000_000) < 4 * took(1_000_000)
+
+
+def test_clients_across_batches_and_nulls():
+    import pyarrow as pa
+
+    rows = [(None, None), (None, "a"), ("k", None), ("k", "a"), ("k", "a"), ("k", "b"), ("l", "b"), ("l", "b")]
+    for size in (1, 2, 3, 8):
+        b = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([c for _, c in rows]), pa.array([1] * 8), pa.array([0] * 8), pa.nulls(8, pa.int64()), pa.nulls(8, pa.int64()), pa.nulls(8, pa.binary())], schema=hotkeys._PARTIAL)
+        got = [r for x in hotkeys._reduce(b.slice(i, size) for i in range(0, 8, size)) for r in x.to_pylist()]
+        assert [(r["k"], r["n"], r["nc"]) for r in got] == [(None, 2, 1), ("k", 4, 2), ("l", 2, 1)]
