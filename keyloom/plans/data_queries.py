@@ -9,14 +9,11 @@ from keyloom.operators import changefeed, copydiff, hotkeys
 from keyloom.session import staging_path, table
 
 
-def _feed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed appended as inserts and equality deletes, then the live keys and versions read."""
     log = changefeed.EqualityDeleteTable(spark, staging_path(spark, "change-feed"), "key", "version", "tombstone")
     log.append(table(spark, sf_dir, "change_feed").select("key", "version", "value", "tombstone"))
-    return log.read()
-
-
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _feed_table(spark, sf_dir).select("key", "version")
+    return log.read(["key", "version"])
 
 
 def p1_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +59,8 @@ WITH newest AS (
 SELECT {cols} FROM newest WHERE rn = 1 AND tombstone IS DISTINCT FROM true
 """
 
+# as the engine writes a sorted list of a clock's entries; keys in the tables need no escapes but quotes and backslashes
+_ENTRIES = "'[' || array_to_string(list_transform(list_sort(map_entries({t}.vector_clock)), lambda e: '{{\"key\":' || to_json(e.key) || CASE WHEN e.value IS NULL THEN '' ELSE ',\"value\":' || e.value END || '}}'), ',') || ']'"
 _CLOCK = "CAST(to_json(list_sort(list_transform(map_entries({t}.vector_clock), lambda e: e.key || '=' || e.value))) AS VARCHAR)"
 
 _DIFF = """
@@ -69,7 +68,7 @@ WITH a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY
      b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY version DESC NULLS LAST) AS rn FROM copy_b) WHERE rn = 1),
      j AS (SELECT coalesce(a.key, b.key) AS key, a.rn AS in_a, b.rn AS in_b,
              a.value AS av, b.value AS bv, a.version AS an, b.version AS bn, a.tombstone AS ta, b.tombstone AS tb,
-             {ca} AS ac, {cb} AS bc
+             {ca} AS ac, {cb} AS bc, {ea} AS ae, {eb} AS be
            FROM a FULL JOIN b ON a.key = b.key),
      d AS (
 SELECT key, 'only_a' AS field FROM j WHERE in_b IS NULL
@@ -78,7 +77,7 @@ UNION ALL SELECT key, 'value' FROM j WHERE in_a IS NOT NULL AND in_b IS NOT NULL
 UNION ALL SELECT key, 'version' FROM j WHERE in_a IS NOT NULL AND in_b IS NOT NULL AND an IS DISTINCT FROM bn
 UNION ALL SELECT key, 'vector_clock' FROM j WHERE in_a IS NOT NULL AND in_b IS NOT NULL AND ac IS DISTINCT FROM bc
 UNION ALL SELECT key, 'tombstone' FROM j WHERE in_a IS NOT NULL AND in_b IS NOT NULL AND ta IS DISTINCT FROM tb)
-""".format(ca=_CLOCK.format(t="a"), cb=_CLOCK.format(t="b"))
+""".format(ca=_CLOCK.format(t="a"), cb=_CLOCK.format(t="b"), ea=_ENTRIES.format(t="a"), eb=_ENTRIES.format(t="b"))
 
 ORACLES = {
     "p1_found": _STATE.format(cols="key, version"),
@@ -90,5 +89,8 @@ SELECT key, count(*) AS n_puts, count(DISTINCT client_id) AS n_clients, max(sequ
 FROM put_requests GROUP BY key
 """,
     "p4_found": _DIFF + "SELECT key, field FROM d",
+    "p4_cells": _DIFF + """SELECT d.key, d.field,
+  CASE d.field WHEN 'value' THEN hex(av) WHEN 'version' THEN CAST(an AS VARCHAR) WHEN 'vector_clock' THEN ae WHEN 'tombstone' THEN CAST(ta AS VARCHAR) END AS a_cell,
+  CASE d.field WHEN 'value' THEN hex(bv) WHEN 'version' THEN CAST(bn AS VARCHAR) WHEN 'vector_clock' THEN be WHEN 'tombstone' THEN CAST(tb AS VARCHAR) END AS b_cell FROM d JOIN j ON d.key = j.key""",
     "p4_summary": _DIFF + "SELECT field, count(*) AS n_differences FROM d GROUP BY field",
 }
