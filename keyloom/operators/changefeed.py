@@ -3,14 +3,19 @@
 A batch of changes is appended without reading the table: live rows go to ``data`` files, and for every change an
 equality delete ``(key, seq)`` goes to ``deletes`` files, since any change supersedes what its key held before.
 Readers take the rows that no later delete of their key supersedes. Writing is therefore a narrow, append-only
-job; the merge happens on read, or once in :meth:`EqualityDeleteTable.compact`.
+job; the merge happens on read, or once in :meth:`EqualityDeleteTable.compact`. A batch is two sets of files, so it is
+committed by a marker written last: readers see both or neither.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyloom.session import Commits
+
 KEY, SEQ, HARD, ROW = "__key", "__seq", "__hard", "__row"
 
 
@@ -35,7 +40,8 @@ def merge_on_read(inserts: DataFrame, deletes: DataFrame) -> DataFrame:
     """Rows of ``inserts`` that no later equality delete of their key removes; one row per live key.
 
     Both sides are combined per key before the shuffle, so a key with a third of all changes leaves a task as
-    one row, and the anti join then is one to one. Repeated and out-of-order changes don't matter: only
+    one row, and the anti join then is one to one. Combining inserts to the newest of a key does what the equality deletes
+    of its upserts would do; the join applies all later deletes. Repeated and out-of-order changes don't matter: only
     sequence numbers are compared. If rows of one key and sequence number differ, one of them is kept.
     """
     newest = inserts.groupBy(KEY).agg(F.max(SEQ).alias(SEQ), F.max_by(ROW, SEQ).alias(ROW))
@@ -51,35 +57,45 @@ def merge_on_read(inserts: DataFrame, deletes: DataFrame) -> DataFrame:
 
 
 class EqualityDeleteTable:
-    """A table in a folder as append-only ``data`` and ``deletes`` files with sequence numbers.
+    """A table in a folder as append-only ``data`` and ``deletes`` files with sequence numbers, a folder for each batch.
 
-    Cases: an empty or never written table reads as empty once a batch (even an empty one) gave it its columns;
-    a batch applied twice changes nothing; columns of any name are kept apart from the table's own.
+    Cases: an empty table reads as empty once a batch (even an empty one) gave it its columns; a table never written to has
+    no columns and can't be read; a batch applied twice changes nothing, and one whose number is committed isn't written
+    again; what a writer left behind without committing is never read; columns of any name are kept apart from the table's own.
     """
 
     def __init__(self, spark: SparkSession, path: str, key: str, seq: str, tombstone: str):
         self.spark, self.path, self.key, self.seq, self.tombstone = spark, path.rstrip("/"), key, seq, tombstone
-
-    def append(self, changes: DataFrame) -> None:
-        inserts, deletes = split_changes(changes, self.key, self.seq, F.col(self.tombstone))
-        inserts.write.mode("append").parquet(f"{self.path}/data")
-        deletes.write.mode("append").parquet(f"{self.path}/deletes")
-
-    def read(self) -> DataFrame:
-        return merge_on_read(
-            self.spark.read.parquet(f"{self.path}/data"), self.spark.read.parquet(f"{self.path}/deletes")
-        )
+        self.commits = Commits(spark, self.path)
+
+    def append(self, changes: DataFrame, batch: int | str | None = None) -> None:
+        """Write a batch and commit it. ``batch`` names it, as a stream does; without a name it is a batch of its own."""
+        name = uuid.uuid4().hex if batch is None else f"batch-{batch}"
+        if self.commits.has(name):
+            return
+        self._write(name, *split_changes(changes, self.key, self.seq, F.col(self.tombstone)))
+
+    def _write(self, name: str, inserts: DataFrame, deletes: DataFrame) -> None:
+        inserts.write.mode("overwrite").parquet(f"{self.path}/{name}/data")
+        deletes.write.mode("overwrite").parquet(f"{self.path}/{name}/deletes")
+        self.commits.add(name)
+
+    def _files(self, kind: str) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.path}/{name}/{kind}" for name in self.commits.all()])
+
+    def read(self, columns: list[str] | None = None) -> DataFrame:
+        """The live rows, of ``columns`` if given: other columns then are neither read nor shuffled."""
+        data = self._files("data")
+        if columns is not None:
+            data = data.select(KEY, SEQ, F.struct(*[F.col(f"{ROW}.`{c}`").alias(c) for c in columns]).alias(ROW))
+        return merge_on_read(data, self._files("deletes"))
 
     def compact(self, to: str) -> EqualityDeleteTable:
         """Write the live rows to another folder. Deletes stay: a change older than one may yet arrive."""
         other = EqualityDeleteTable(self.spark, to, self.key, self.seq, self.tombstone)
         live = self.read()
-        live.select(
-            F.col(self.key).alias(KEY), F.col(self.seq).alias(SEQ), F.struct(*[F.col(f"`{c}`") for c in live.columns]).alias(ROW)
-        ).write.parquet(f"{other.path}/data")
-        self.spark.read.parquet(f"{self.path}/deletes").groupBy(KEY, HARD).agg(F.max(SEQ).alias(SEQ)).select(
-            KEY, SEQ, HARD
-        ).write.parquet(f"{other.path}/deletes")
+        rows = live.select(F.col(self.key).alias(KEY), F.col(self.seq).alias(SEQ), F.struct(*[F.col(f"`{c}`") for c in live.columns]).alias(ROW))
+        other._write("compacted", rows, self._files("deletes").groupBy(KEY, HARD).agg(F.max(SEQ).alias(SEQ)).select(KEY, SEQ, HARD))
         return other
 
 

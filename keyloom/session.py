@@ -59,11 +59,39 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _path(spark: SparkSession, path: str):  # noqa: ANN202
+    """(file system, path) of the JVM's file system layer, so any scheme Spark can read will do."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def release(spark: SparkSession, path: str) -> bool:
     """Delete a staged path through the file system that holds it."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True))
+    fs, p = _path(spark, path)
+    return bool(fs.delete(p, True))
+
+
+class Commits:
+    """The committed batches of a folder: a batch counts once its marker is there, and markers are written last.
+
+    A marker is an empty file named by the batch, so a crash before it leaves files that no reader looks at, and a batch
+    delivered again finds itself committed. State lives in the folder alone; a new object goes on where the last one stopped.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def all(self) -> list[str]:
+        fs, p = _path(self.spark, f"{self.folder}/_commits")
+        return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+    def has(self, name: str) -> bool:
+        fs, p = _path(self.spark, f"{self.folder}/_commits/{name}")
+        return bool(fs.exists(p))
+
+    def add(self, name: str) -> None:
+        fs, p = _path(self.spark, f"{self.folder}/_commits/{name}")
+        fs.create(p, True).close()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from keyloom.operators import metrics, occ
 from keyloom.operators.changefeed import EqualityDeleteTable
 from keyloom.operators.siblings import merge_siblings
+from keyloom.session import Commits
 
 
 def streaming_metrics(ops: DataFrame, *by: str) -> DataFrame:
@@ -30,25 +31,45 @@ def windowed_metrics(ops: DataFrame, time: str, width: str, late: str, *by: str)
 
 def append_changes(changes: DataFrame, table: EqualityDeleteTable, checkpoint: str):
     """A query that appends each micro-batch of changes to an equality-delete table. A batch delivered twice changes nothing."""
-    return changes.writeStream.foreachBatch(lambda df, _: table.append(df)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return changes.writeStream.foreachBatch(lambda df, number: table.append(df, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 class SiblingStore:
-    """Sibling sets per key in versioned folders; each micro-batch is merged into the newest and written as the next."""
+    """Sibling sets per key: each micro-batch is merged by itself and written as a folder of its own, and readers merge the folders.
+
+    A batch never reads or rewrites what is stored. It counts once its marker is written, so a restart, a crash between
+    writes and a batch delivered again all leave the store right; nothing is kept in this object. :meth:`compact` merges
+    the folders so far into one. A store without batches can't be read, as it has no columns yet.
+    """
 
     def __init__(self, spark, folder: str, columns: tuple[str, ...] = ("key", "value", "version", "clock", "tombstone")):
         self.spark, self.folder, self.columns = spark, folder.rstrip("/"), list(columns)
-        self.version: int | None = None
+        self.commits = Commits(spark, self.folder)
 
     def merge(self, batch: DataFrame, number: int) -> None:
-        rows = batch.select(self.columns)
-        if self.version is not None:
-            rows = rows.unionByName(self.read().select(self.columns))
-        merge_siblings(rows).select(self.columns).write.mode("overwrite").parquet(f"{self.folder}/{number}")
-        self.version = number
+        name = f"batch-{number:019d}"
+        # a batch delivered again may be in a compacted folder already
+        if self.commits.has(name):
+            return
+        merge_siblings(batch.select(self.columns)).select(self.columns).write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        self.commits.add(name)
+
+    def _parts(self) -> list[str]:
+        """The newest compacted folder and the batches that came after it."""
+        names = self.commits.all()
+        merged = [n for n in names if n.startswith("upto-")]
+        return merged[-1:] + [n for n in names if n.startswith("batch-") and (not merged or n[6:] > merged[-1][5:])]
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{self.version}")
+        return merge_siblings(self.spark.read.parquet(*[f"{self.folder}/{n}" for n in self._parts()]).select(self.columns)).select(self.columns)
+
+    def compact(self) -> None:
+        """Merge all batches so far into one folder; batches are numbered in order, as a stream's are, so later ones have higher numbers."""
+        last = self._parts()[-1].split("-")[1]
+        name = f"upto-{last}"
+        if not self.commits.has(name):
+            self.read().write.mode("overwrite").parquet(f"{self.folder}/{name}")
+            self.commits.add(name)
 
     def start(self, stream: DataFrame, checkpoint: str):
         return stream.writeStream.foreachBatch(self.merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
