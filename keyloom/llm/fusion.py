@@ -7,8 +7,8 @@
 3. The survivor of a key is its live unsuperseded row with the most filled-in fields (then the smallest id); the
    fused record holds the value of greatest posterior of each field.
 
-Groups may be of any size: rows of equal clock are folded first, fronts are found in bounded chunks, and votes are
-counted per source before they meet.
+Groups may be of any size: what is superseded is dropped in bounded windows before rows of a key meet, only what is left
+is parsed, and votes are counted per source before they meet.
 """
 
 from __future__ import annotations
@@ -21,18 +21,17 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keyloom.operators.front import causal_front
 from keyloom.session import stage
 
 #: Texts that only say that there is no value; compared without case and surrounding blanks.
 PLACEHOLDERS = frozenset(["", "-", "--", "?", "n/a", "na", "none", "null", "nil", "tbd", "tba", "unknown", "undefined", "not available"])
-#: Clocks of one key compared with each other in one place.
-CHUNK = 256
 #: More sources than this would make the table of source pairs too large to hold.
-MAX_SOURCES = 500
+MAX_SOURCES = 2000
 
 
 def _no_constant(name: str) -> None:
@@ -62,72 +61,6 @@ def _fields_udf(values: pd.Series) -> pd.Series:
     return pd.Series([[{"field": f, "val": v} for f, v in filled_in(x) or ()] for x in values], dtype=object)
 
 
-def canonical_clock(clock: Column) -> Column:
-    """Sorted (node, counter) entries without those of counter 0, which say nothing; null is empty."""
-    entries = F.filter(F.map_entries(clock), lambda e: F.coalesce(e["value"], F.lit(0)) != 0)
-    return F.coalesce(F.array_sort(entries), F.expr("cast(array() as array<struct<key:string,value:bigint>>)"))
-
-
-def _at_sql(clock: str, node: str) -> str:
-    return f"coalesce(try_element_at(transform(filter({clock}, e -> e.key = {node}), e -> e.value), 1), 0)"
-
-
-def _superseded_sql(a: str, b: str) -> str:
-    """Whether canonical clock a is below b: nowhere higher, and not equal (equal clocks have equal canonical forms)."""
-    return (
-        f"({a} != {b} AND forall({a}, x -> x.value <= {_at_sql(b, 'x.key')})"
-        f" AND forall({b}, y -> {_at_sql(a, 'y.key')} <= y.value))"
-    )
-
-
-def front(clocks: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Rows of ``clocks`` (key, clk, and any others; unique in both) whose clock no other clock of the key is above.
-
-    Keys of up to ``chunk`` clocks are settled at once. Larger ones go through rounds of random chunks, which only
-    drop what is surely superseded, while that makes them smaller by a tenth; what is left then is compared with
-    every chunk of its key that could hold a greater clock, a chunk at a time.
-    """
-    others = [c for c in clocks.columns if c not in ("key", "clk")]
-    row = F.struct("clk", *others)
-    counted = lambda df: df.join(df.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key")
-
-    def prune(df: DataFrame, seed: int) -> DataFrame:
-        part = df.withColumn("chunk", F.pmod(F.xxhash64("clk", F.lit(seed)), F.ceil(F.col("m") / chunk)).cast("int"))
-        g = part.groupBy("key", "m", "chunk").agg(F.collect_list(row).alias("g"))
-        keep = g.withColumn("g", F.expr(f"filter(g, a -> NOT exists(g, b -> {_superseded_sql('a.clk', 'b.clk')}))"))
-        return keep.select("key", "m", F.explode("g").alias("r")).select("key", "m", "r.*")
-
-    first = stage(prune(counted(clocks), 0), "front")
-    done = first.where(F.col("m") <= chunk).select("key", "clk", *others)
-    left = first.where(F.col("m") > chunk).drop("m")
-    n = left.count()
-    for seed in range(1, 20):
-        if not n:
-            return done
-        now = stage(prune(counted(left), seed), "front")
-        done = done.unionByName(now.where(F.col("m") <= chunk).select("key", "clk", *others))
-        left, before = now.where(F.col("m") > chunk).drop("m"), n
-        n = left.count()
-        if n > 0.9 * before:
-            break
-    if not n:
-        return done
-    # chunks of clocks of like size; a chunk can only hold a greater clock if its greatest counters allow it
-    size = F.expr("aggregate(clk, 0L, (s, e) -> s + e.value)")
-    wide = counted(left).withColumn("chunk", F.pmod(F.xxhash64("clk", F.lit(-1)), F.ceil(F.col("m") / chunk)).cast("int")).withColumn("size", size)
-    wide = stage(wide, "front")
-    chunks = wide.groupBy("key", "chunk").agg(F.collect_list("clk").alias("them"), F.max("size").alias("top"))
-    asked = wide.select("key", "clk", "size", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / chunk).cast("int") - 1)).alias("chunk"))
-    lost = (
-        asked.join(chunks, ["key", "chunk"])
-        .where(F.col("top") > F.col("size"))
-        .where(F.expr(f"exists(them, b -> {_superseded_sql('clk', 'b')})"))
-        .select("key", "clk")
-        .distinct()
-    )
-    return done.unionByName(wide.join(lost, ["key", "clk"], "left_anti").select("key", "clk", *others))
-
-
 @dataclass
 class Sources:
     """What fusion learnt about the sources."""
@@ -156,9 +89,8 @@ def _batch(b: pa.RecordBatch, src: Sources, n_false: int, copy_rate: float) -> d
     score = np.zeros(len(groups))
     for i, x in enumerate(order):
         independent = np.ones(len(groups))
-        for y in order[:i]:
-            if src.copies[x, y] > 1e-9:
-                independent *= np.where(member[:, y], 1 - copy_rate * src.copies[x, y], 1.0)
+        for y in order[:i][src.copies[x, order[:i]] > 1e-9]:
+            independent *= np.where(member[:, y], 1 - copy_rate * src.copies[x, y], 1.0)
         score += np.where(member[:, x], weight[x] * independent, 0.0)
     top = np.full(len(b), -np.inf)
     np.maximum.at(top, gi, score)
@@ -198,11 +130,10 @@ def _statistics(src: Sources, n_false: int, copy_rate: float):
             u = np.zeros((len(b), k))
             np.add.at(u, r["gi"], m)
             both += u.T @ u
-        x, y = np.divmod(np.arange(k * k), k)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x), pa.array(y), pa.array(true.ravel()), pa.array(false.ravel()), pa.array(both.ravel()), pa.array(np.diag(right).ravel()), pa.array(np.diag(voted).ravel())],
-            names=["x", "y", "t", "f", "b", "r", "n"],
-        )
+        # pairs that never vote on the same item count nothing
+        at = np.flatnonzero(both.ravel() + np.diag(voted).ravel())
+        cells = [m.ravel()[at] for m in (true, false, both, np.diag(right), np.diag(voted))]
+        yield pa.RecordBatch.from_arrays([pa.array(at // k), pa.array(at % k), *map(pa.array, cells)], names=["x", "y", "t", "f", "b", "r", "n"])
 
     return run
 
@@ -260,36 +191,24 @@ def _decide(src: Sources, n_false: int, copy_rate: float):
     return run
 
 
-def fuse_groups(
-    df: DataFrame, key: str = "key", row_id: str = "sibling_id", source: str = "node", value: str = "value", clock: str = "vector_clock", tombstone: str = "tombstone", n_false: int = 20, copy_rate: float = 0.8, prior: float = 0.2, chunk: int = CHUNK
-) -> DataFrame:
-    """(key, sibling_id, n_filled, record, confidence) for each key with two or more rows and a survivor.
-
-    sibling_id and n_filled are the survivor's; record maps field to fused value, confidence to its posterior.
-    A null clock is empty and a node a clock doesn't name counts 0; a null tombstone is false; a value that is no
-    valid JSON object has no fields; a null source votes as a source of its own. A null key is a key. Repeated rows
-    vote once per source; of equally likely values the smallest text is taken. Keys without a survivor, an
-    empty table and tables of single rows give nothing. Other columns are ignored, whatever their names.
-    """
-    rows = df.select(
-        F.col(key).alias("key"), F.col(row_id).alias("id"), F.coalesce(F.col(source), F.lit("")).alias("source"),
-        canonical_clock(F.col(clock)).alias("clk"), F.coalesce(F.col(tombstone), F.lit(False)).alias("dead"), F.col(value).alias("value"),
-    )
-    # keys are null-safe throughout as a struct: joins would drop a null
-    rows = rows.withColumn("key", F.struct("key")).withColumn("fields", F.when(~F.col("dead"), _fields_udf("value"))).drop("value")
-    rows = stage(rows.withColumn("n_filled", F.coalesce(F.size("fields"), F.lit(0)).cast("int")), "siblings")
-    folded = rows.groupBy("key", "clk").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.when(~F.col("dead"), F.struct((-F.col("n_filled")).alias("less"), "id"))).alias("best")
-    )
-    folded = stage(folded, "clocks")
-    several = folded.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= 2).select("key")
-    kept = stage(front(folded.drop("n").join(several, "key", "left_semi"), chunk), "kept")
-    survivors = kept.groupBy("key").agg(F.min("best").alias("best")).where(F.col("best").isNotNull())
-
-    live = rows.where(~F.col("dead")).join(kept.select("key", "clk"), ["key", "clk"], "left_semi")
+@dataclass
+class Fused:
+    records: DataFrame  #: key, sibling_id, n_filled, record, confidence
+    sources: Sources
+
+
+def fuse(
+    df: DataFrame, key: str = "key", row_id: str = "sibling_id", source: str = "node", value: str = "value", clock: str = "vector_clock", tombstone: str = "tombstone", n_false: int = 20, copy_rate: float = 0.8, prior: float = 0.2
+) -> Fused:
+    """:func:`fuse_groups` with what was learnt about the sources."""
+    dead = F.coalesce(F.col(tombstone), F.lit(False))
+    # what a deleted row holds is never read
+    rows = df.select(F.col(key).alias("key"), F.col(row_id).alias("id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(clock).alias("clock"), dead.alias("dead"), F.when(~dead, F.col(value)).alias("value"))
+    live = causal_front(rows, ["key"], "clock").where(~F.col("dead")).select("key", "id", "source", _fields_udf("value").alias("fields"))
+    live = stage(live.withColumn("n_filled", F.size("fields")), "live")
     counted = live.select("key", "source", F.explode("fields").alias("f")).groupBy("key", "source", "f.field", "f.val").agg(F.count(F.lit(1)).alias("c"))
     votes = counted.groupBy("key", "field", "source").agg(F.min(F.struct((-F.col("c")).alias("less"), "val")).alias("v"))
-    names = [r[0] for r in rows.select("source").distinct().orderBy("source").limit(MAX_SOURCES + 1).collect()]
+    names = [r[0] for r in live.select("source").distinct().orderBy("source").limit(MAX_SOURCES + 1).collect()]
     if len(names) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     if not names:
@@ -298,12 +217,41 @@ def fuse_groups(
     items = votes.groupBy("key", "field").agg(F.sort_array(F.collect_list(F.struct(index.alias("src"), F.col("v.val").alias("val")))).alias("votes"))
     items = stage(items, "items")
     src = learn_sources(items, names, n_false, copy_rate, prior)
-    fused = items.mapInArrow(_decide(src, n_false, copy_rate), "key struct<key:string>, field string, val string, confidence double, votes bigint")
-    records = fused.groupBy("key").agg(F.collect_list(F.struct("field", "val", "confidence")).alias("fs")).select(
-        "key",
-        F.map_from_entries(F.transform(F.array_sort("fs"), lambda x: F.struct(x["field"], x["val"]))).alias("record"),
-        F.map_from_entries(F.transform(F.array_sort("fs"), lambda x: F.struct(x["field"], x["confidence"]))).alias("confidence"),
-    )
-    return survivors.join(records, "key", "left").select(
-        F.col("key.key").alias("key"), F.col("best.id").alias("sibling_id"), (-F.col("best.less")).alias("n_filled"), "record", "confidence"
+    fused = items.mapInArrow(_decide(src, n_false, copy_rate), "key string, field string, val string, confidence double, votes bigint")
+    # a key's rows, its best one and its fused fields meet once
+    best = F.struct((-F.col("n_filled")).alias("less"), "id")
+    none, one = (lambda t: F.lit(None).cast(t)), F.lit(1)
+    kind = live.select(best.alias("b")).schema["b"].dataType.simpleString()
+    of_field = F.struct("field", "val", "confidence")
+    parts = [
+        rows.select("key", one.alias("n"), none(kind).alias("best"), none("struct<field:string,val:string,confidence:double>").alias("f")),
+        live.select("key", F.lit(0).alias("n"), best.alias("best"), none("struct<field:string,val:string,confidence:double>").alias("f")),
+        fused.select("key", F.lit(0).alias("n"), none(kind).alias("best"), of_field.alias("f")),
+    ]
+    met = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("key").agg(F.sum("n").alias("n"), F.min("best").alias("best"), F.sort_array(F.collect_list("f")).alias("fs"))
+    as_map = lambda x: F.when(F.size("fs") > 0, F.map_from_entries(F.transform("fs", lambda e: F.struct(e["field"], e[x]))))
+    records = met.where((F.col("n") >= 2) & F.col("best").isNotNull()).select(
+        "key", F.col("best.id").alias("sibling_id"), (-F.col("best.less")).alias("n_filled"), as_map("val").alias("record"), as_map("confidence").alias("confidence")
     )
+    return Fused(records, src)
+
+
+def fuse_groups(df: DataFrame, **columns) -> DataFrame:  # noqa: ANN003
+    """(key, sibling_id, n_filled, record, confidence) for each key with two or more rows and a survivor; ``columns`` as in :func:`fuse`.
+
+    sibling_id and n_filled are the survivor's; record maps field to fused value, confidence to its posterior.
+    A null clock is empty and a node a clock doesn't name counts 0; a null tombstone is false; a value that is no
+    valid JSON object has no fields; a null source votes as a source of its own. A null key is a key. Repeated rows
+    vote once per source; of equally likely values the smallest text is taken. Keys without a survivor, an
+    empty table and tables of single rows give nothing. Other columns are ignored, whatever their names.
+    """
+    return fuse(df, **columns).records
+
+
+def source_report(spark: SparkSession, src: Sources) -> DataFrame:
+    """(source, accuracy, likeliest_copy, copy_probability): a row per source, with the source it most likely depends on."""
+    rows = []
+    for i, name in enumerate(src.names):
+        j = int(np.argmax(src.copies[i])) if len(src.names) > 1 else i
+        rows.append((name, float(src.accuracy[i]), src.names[j] if j != i else None, float(src.copies[i, j])))
+    return spark.createDataFrame(rows, "source string, accuracy double, likeliest_copy string, copy_probability double")

@@ -18,6 +18,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_records(spark, sf_dir).select("key", "sibling_id")
 
 
+def p3_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What fusion learnt: each source's accuracy, and the source it most likely copies from or is copied by."""
+    return fusion.source_report(spark, fusion.fuse(table(spark, sf_dir, "sibling_values")).sources)
+
+
 def _seen(spark: SparkSession, sf_dir: str) -> seen.Seen:
     return seen.seen_before(table(spark, sf_dir, "put_requests"), table(spark, sf_dir, "archived_keys"))
 
@@ -30,6 +35,11 @@ def p5_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _seen(spark, sf_dir).errors()
 
 
+def p5_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the report doesn't depend on hashes: requests and new keys per block, and whether the filter erred on fewer than 2 % of these."""
+    return _seen(spark, sf_dir).errors().select("block", "requests", "new_keys", (F.col("filter_error_rate") < 0.02).alias("below_2_percent"))
+
+
 def _containers(spark: SparkSession, sf_dir: str) -> dict[str, int]:
     return {r.container_kind: r.capacity_tokens for r in table(spark, sf_dir, "containers").collect()}
 
@@ -86,7 +96,7 @@ def p8_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labelled(spark, sf_dir, stretches=False).select("doc_id", "label", "label_code", top["lang"].alias("lang"), top["share"].alias("share"), top["confidence"].alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_records, p5_found, p5_errors, p6_pack, p6_tiers, p6_fill, p7_mix, p7_shares, p8_found, p8_stretches, p8_labels)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_records, p3_sources, p5_found, p5_errors, p5_accuracy, p6_pack, p6_tiers, p6_fill, p7_mix, p7_shares, p8_found, p8_stretches, p8_labels)}
 
 _PLACEHOLDERS = ", ".join(f"'{p}'" for p in sorted(fusion.PLACEHOLDERS))
 
@@ -108,6 +118,14 @@ WITH t AS (SELECT *, try(decode(value)) AS txt,
            AND list_bool_or(list_transform(map_keys(b.clk), lambda k: coalesce(a.clk[k], 0) < b.clk[k])))),
      r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY filled DESC, sibling_id) AS rn FROM alive)
 SELECT key, sibling_id FROM r WHERE rn = 1
+""",
+    "p5_accuracy": """
+WITH ids AS (SELECT min(request_id) AS lo, max(request_id) AS hi FROM put_requests WHERE key IS NOT NULL),
+     firsts AS (SELECT key, min(request_id) AS first_id FROM put_requests WHERE key IS NOT NULL GROUP BY key),
+     old AS (SELECT DISTINCT key FROM archived_keys WHERE key IS NOT NULL)
+SELECT CAST(floor((p.request_id - lo) * 20.0 / (hi - lo + 1)) AS INTEGER) AS block, count(*) AS requests,
+       count(*) FILTER (o.key IS NULL AND p.request_id = f.first_id) AS new_keys, true AS below_2_percent
+FROM ids, put_requests p JOIN firsts f ON p.key = f.key LEFT JOIN old o ON p.key = o.key GROUP BY 1
 """,
     "p5_found": """
 WITH firsts AS (SELECT key, min(request_id) AS first_id FROM put_requests WHERE key IS NOT NULL GROUP BY key),

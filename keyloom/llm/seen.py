@@ -1,10 +1,12 @@
 """Has this key been seen before? Filter then verify, with the filter's errors measured.
 
-Requests are cut into blocks by id. Within a block the first request of each key is found exactly; every other one
-repeats it. For the firsts, an approximate membership filter of fixed size answers whether an earlier block or the
-archive may hold the key. It is a Bloom filter whose cells hold not a bit but the first block that set them, so one
-array answers for every point in time: a key may have come before block b only if all its cells are below b. A no is
-certain and ends there. A maybe is looked up among the full keys on disk, and each one disproved is counted.
+1. Every split answers for itself: of the requests of one key that it meets, all but the earliest repeat a key, so they are
+   answered at once. What is left, one row per key and window of a split, is kept on disk with its key and its hash.
+2. The hashes alone, 16 bytes a row, go to segments by hash. A segment reads them in the order of arrival, archive first,
+   past an approximate membership filter of its own: a no is certain and ends there, a maybe goes on. Segments are as
+   many as the keys need, so the filters' error rate doesn't depend on how many keys there are, and no filter leaves its task.
+3. The maybes are looked up among the full keys on disk: rows whose hash some maybe has meet by hash and key, and a request is
+   seen if a row of its very key came before it. Every maybe this disproves is reported.
 """
 
 from __future__ import annotations
@@ -13,124 +15,158 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.session import stage
 
 HASHES = 5
-SEGMENT_BITS = 6
-CELLS_PER_KEY = 10
-NEVER = 65535
+BITS_PER_KEY = 12
+#: A segment holds at most so many keys (so a filter of 12 MB), and at least so many if there are enough tasks for all cores.
+MOST_KEYS, LEAST_KEYS = 8_000_000, 50_000
+#: A split answers for itself within windows of so many different keys.
+WINDOW_KEYS = 200_000
+#: Rows a filter is asked for, and then told, at once.
+STEP = 1024
+#: Equal ranges of ids that errors are reported for.
+BLOCKS = 20
+
+
+def _firsts(archive: bool):
+    """Per window of a split: rows that repeat an earlier one (no key), and the earliest of each key; the archive's rows have no id."""
+
+    def rows(ids: np.ndarray, keys: list | None, hashes: np.ndarray | None) -> pa.RecordBatch:
+        n = len(ids)
+        none = lambda t: pa.nulls(n, t)
+        return pa.RecordBatch.from_arrays(
+            [none(pa.int64()) if archive else pa.array(ids), none(pa.string()) if keys is None else pa.array(keys, pa.string()), none(pa.int64()) if hashes is None else pa.array(hashes)], names=["id", "key", "h"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        least, h = np.empty(0, np.int64), np.empty(0, np.int64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = b.column(0).to_numpy()
+            d = b.column(1).dictionary_encode()
+            words = d.dictionary.to_pylist()
+            code = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))[d.indices.to_numpy()]
+            grow = len(known) - len(least)
+            least = np.append(least, np.full(grow, np.iinfo(np.int64).max))
+            h = np.append(h, np.zeros(grow, np.int64))
+            h[code] = b.column(2).to_numpy()
+            was = least.copy()
+            np.minimum.at(least, code, ids)
+            if not archive:
+                # what was the earliest and no longer is repeats a key, as do all later ones; rows of one id don't repeat each other
+                beaten = was[(was > least) & (was < np.iinfo(np.int64).max)]
+                later = ids[ids > least[code]]
+                twice = np.flatnonzero(ids == least[code])
+                first = np.unique(code[twice], return_index=True)[1]
+                extra = np.ones(len(twice), bool)
+                extra[first[was[code[twice[first]]] > ids[twice[first]]]] = False
+                yield rows(np.append(beaten, later), None, None)
+                if extra.any():
+                    at = twice[extra]
+                    yield rows(ids[at], b.column(1).take(pa.array(at)).to_pylist(), h[code[at]])
+            if len(known) > WINDOW_KEYS:
+                yield rows(least, list(known), h)
+                known, least, h = {}, np.empty(0, np.int64), np.empty(0, np.int64)
+        if known:
+            yield rows(least, list(known), h)
+
+    return run
 
 
-def _cells(h: np.ndarray, segment_cells: int) -> np.ndarray:
-    """Cell numbers (HASHES x n) of 64-bit hashes; all cells of a key lie in one segment."""
-    h = h.astype(np.int64).view(np.uint64)
+def _bits(h: np.ndarray, bits: int) -> np.ndarray:
+    """Bit numbers (HASHES x n) of 64-bit hashes."""
+    z = h.view(np.uint64)
     with np.errstate(over="ignore"):
-        z = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(29))) | np.uint64(1)
-        base = (h >> np.uint64(64 - SEGMENT_BITS)) * np.uint64(segment_cells)
-        return np.stack([base + (h + np.uint64(i) * z) % np.uint64(segment_cells) for i in range(HASHES)]).astype(np.int64)
+        z = (z ^ (z >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        step = (z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1)
+        return np.stack([((z + np.uint64(i) * step) >> np.uint64(1)) % np.uint64(bits) for i in range(HASHES)]).astype(np.int64)
+
 
+def _asked(bits: int):
+    """Answers for a segment's rows (h, id) in order of arrival: (id, h, maybe). The filter is all it holds."""
 
-def _build(segment_cells: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        held = np.zeros(-(-bits // 8), np.uint8)
         for b in batches:
-            h, block = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.uint16)
-            cells = _cells(h, segment_cells)
-            of = cells[0] // segment_cells
-            for s in np.unique(of).tolist():
-                array = held.setdefault(s, np.full(segment_cells, NEVER, np.uint16))
-                at = of == s
-                for row in cells:
-                    np.minimum.at(array, row[at] - s * segment_cells, block[at])
-        for s in sorted(held):
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([held.pop(s).tobytes()], pa.binary())], names=["s", "cells"])
+            maybe = np.zeros(b.num_rows, bool)
+            h = b.column(0).to_numpy()
+            for lo in range(0, len(h), STEP):
+                part = h[lo : lo + STEP]
+                at = _bits(part, bits)
+                byte, bit = at >> 3, (1 << (at & 7)).astype(np.uint8)
+                # within a step equal hashes are compared themselves
+                repeats = np.ones(len(part), bool)
+                repeats[np.unique(part, return_index=True)[1]] = False
+                maybe[lo : lo + STEP] = ((held[byte] & bit) != 0).all(axis=0) | repeats
+                np.bitwise_or.at(held, byte.ravel(), bit.ravel())
+            asks = b.column(1).is_valid()
+            yield pa.RecordBatch.from_arrays([b.column(1).filter(asks), b.column(0).filter(asks), pa.array(maybe).filter(asks)], names=["id", "h", "maybe"])
 
     return run
 
 
-@dataclass
-class BlockFilter:
-    """The filter on the driver: 2 bytes a cell, at most ``max_cells`` of them however many keys there are."""
-
-    cells: np.ndarray
-    segment_cells: int
-
-    @classmethod
-    def of(cls, keys: DataFrame, n_keys: int, max_cells: int) -> BlockFilter:
-        """``keys``: (h, block). Equal hashes are combined before the shuffle; a segment's cells are set in one place."""
-        segments = 1 << SEGMENT_BITS
-        segment_cells = int(min(max(n_keys * CELLS_PER_KEY, 1 << 14), max_cells)) // segments
-        # shiftrightunsigned gives the segment, the same top bits that _cells uses
-        per = keys.groupBy("h").agg(F.min("block").alias("block")).withColumn("s", F.shiftrightunsigned("h", 64 - SEGMENT_BITS))
-        parts = per.repartition("s").select("h", "block").mapInArrow(_build(segment_cells), "s int, cells binary").collect()
-        out = np.full(segments * segment_cells, NEVER, np.uint16)
-        for r in parts:
-            out[r.s * segment_cells : (r.s + 1) * segment_cells] = np.frombuffer(r.cells, np.uint16)
-        return cls(out, segment_cells)
-
-    def may_precede(self, df: DataFrame, h: str, block: Column) -> DataFrame:
-        """``df`` with ``maybe``: whether the key of hash ``h`` may have been set before ``block``."""
-        held = df.sparkSession.sparkContext.broadcast(self.cells)
-        segment_cells = self.segment_cells
-
-        @F.pandas_udf("boolean")
-        def probe(hs: pd.Series, blocks: pd.Series) -> pd.Series:
-            at = held.value[_cells(hs.to_numpy(), segment_cells)]
-            return pd.Series((at < blocks.to_numpy()).all(axis=0))
-
-        return df.withColumn("maybe", probe(F.col(h), block))
-
-
 @dataclass
 class Seen:
-    rows: DataFrame  #: request ids whose key was seen before
-    checked: DataFrame  #: each first of a block: block, maybe, seen
-
-    def errors(self) -> DataFrame:
-        """Per block: firsts asked about, the filter's maybes, those disproved, and the share of wrong answers among the keys that were new."""
-        new = ~F.col("seen")
-        return self.checked.groupBy("block").agg(
-            F.count(F.lit(1)).alias("asked"), F.count_if("maybe").alias("maybes"), F.count_if(F.col("maybe") & new).alias("disproved"), F.count_if(new).alias("new_keys")
-        ).withColumn("filter_error_rate", F.when(F.col("new_keys") > 0, F.col("disproved") / F.col("new_keys")).otherwise(F.lit(0.0)))
-
-
-def seen_before(requests: DataFrame, archive: DataFrame, key: str = "key", order: str = "request_id", archive_key: str = "key", block_rows: int = 50_000, max_cells: int = 1 << 24) -> Seen:
+    rows: DataFrame  #: ids of requests whose key was seen before
+    answers: DataFrame  #: what the filter was asked: id, h, maybe
+    verified: DataFrame  #: ids of the maybes that are right
+    repeats: DataFrame  #: ids answered within a split, without the filter
+    lo: int
+    hi: int
+
+    def disproved(self) -> DataFrame:
+        """The log of measured errors: each request that the filter took for seen and whose key wasn't."""
+        return self.answers.where("maybe").join(self.verified, "id", "left_anti").select("id")
+
+    def errors(self, blocks: int = BLOCKS) -> DataFrame:
+        """Per block of ids: requests, those repeated within a split, those asked, the filter's maybes, those disproved, keys that
+        were new, and the share of wrong answers among these. Blocks are equal ranges between the first id and the last."""
+        block = F.expr(f"cast((id - {self.lo}L) * {blocks}D / {self.hi - self.lo + 1}D as int)")
+        one = lambda df, what: df.select(block.alias("block"), F.lit(what).alias("what"))
+        all_ = one(self.repeats, "repeated").unionByName(one(self.verified, "verified")).unionByName(self.answers.select(block.alias("block"), F.when(F.col("maybe"), "maybe").otherwise("no").alias("what")))
+        n = lambda *w: F.count_if(F.col("what").isin(*w))
+        per = all_.groupBy("block").agg(n("repeated", "maybe", "no").alias("requests"), n("repeated").alias("repeated"), n("maybe", "no").alias("asked"), n("maybe").alias("maybes"), n("verified").alias("__v"))
+        new = F.col("asked") - F.col("__v")
+        return per.withColumn("disproved", F.col("maybes") - F.col("__v")).withColumn("new_keys", new).drop("__v").withColumn(
+            "filter_error_rate", F.when(F.col("new_keys") > 0, F.col("disproved") / F.col("new_keys")).otherwise(F.lit(0.0))
+        )
+
+
+def seen_before(requests: DataFrame, archive: DataFrame, key: str = "key", order: str = "request_id", archive_key: str = "key", bits_per_key: float = BITS_PER_KEY, most_keys: int = MOST_KEYS) -> Seen:
     """Requests with a non-null key that the archive or an earlier request holds.
 
-    Keys are exact text; the answer is exact, since only a filter's no is taken without looking. ``order`` must be
-    unique and says what is earlier. Null keys are never seen and set nothing. Memory: ``max_cells`` x 2 bytes, and a
-    task's rows; more keys than the filter is made for only mean more lookups. Empty tables on either side give what
-    the other implies. Other columns are ignored, whatever their names.
+    Keys are exact text; the answer is exact, since only a filter's no is taken without looking. ``order`` is an integer and
+    says what is earlier; requests of equal order don't precede each other. Null keys and requests without order are never
+    seen and set nothing. A task holds a filter of ``bits_per_key`` x at most ``most_keys`` bits, or the keys of a window,
+    however many keys there are. Empty tables on either side give what the other implies. Other columns are ignored,
+    whatever their names.
     """
+    spark = requests.sparkSession
     asked = requests.select(F.col(order).cast("bigint").alias("id"), F.col(key).alias("key")).where(F.col("key").isNotNull() & F.col("id").isNotNull())
-    old = archive.select(F.col(archive_key).alias("key")).where(F.col("key").isNotNull()).withColumn("h", F.xxhash64("key"))
-    lo, hi = asked.agg(F.min("id"), F.max("id")).first()
-    lo, hi = (0, 0) if lo is None else (lo, hi)
-    # cells are 16 bits: block 0 is the archive, the largest number means never
-    step = max(block_rows, -(-(hi - lo + 1) // (NEVER - 2)))
-    blocks = asked.withColumn("block", (F.expr(f"(id - {lo}L) div {step}L") + 1).cast("int"))
-    in_block = F.min("id").over(Window.partitionBy("block", "key"))
-    marked = blocks.withColumn("first", F.col("id") == in_block)
-    marked = stage(marked.select("id", "block", "first", F.when(F.col("first"), F.col("key")).alias("key"), F.when(F.col("first"), F.xxhash64("key")).alias("h")), "requests")
-    firsts = marked.where("first").select("id", "block", "key", "h")
-
-    n_keys = firsts.count() + archive.count()
-    before = BlockFilter.of(firsts.select("h", "block").unionByName(old.select("h", F.lit(0).alias("block"))), n_keys, max_cells)
-    probed = stage(before.may_precede(firsts, "h", F.col("block")), "probed")
-
-    # full keys on disk that could be meant, by a second filter over the maybes; then the exact lookup
-    maybes = probed.where("maybe")
-    wanted = BlockFilter.of(maybes.select("h", F.lit(0).alias("block")), maybes.count(), max_cells)
-    full = wanted.may_precede(firsts.select("key", "h", "id").unionByName(old.withColumn("id", F.lit(lo - 1).cast("bigint")), allowMissingColumns=True), "h", F.lit(1)).where("maybe")
-    earliest = full.groupBy("key").agg(F.min("id").alias("earliest"))
-    verified = maybes.join(earliest, "key", "left").select("id", "block", "maybe", F.coalesce(F.col("earliest") < F.col("id"), F.lit(False)).alias("seen"))
-    verified = stage(verified, "verified")
-    rows = marked.where(~F.col("first")).select("id").unionByName(verified.where("seen").select("id"))
-    checked = verified.select("block", "maybe", "seen").unionByName(probed.where(~F.col("maybe")).select("block", "maybe", F.lit(False).alias("seen")))
-    return Seen(rows.select(F.col("id").alias(order)), checked)
+    old = archive.select(F.lit(0).cast("bigint").alias("id"), F.col(archive_key).alias("key")).where(F.col("key").isNotNull())
+    hashed = lambda df, kind: df.withColumn("h", F.xxhash64("key")).mapInArrow(_firsts(kind), "id bigint, key string, h bigint")
+    kept = stage(hashed(asked, False).unionByName(hashed(old, True)), "seen-keys")
+    repeats, firsts = kept.where("key IS NULL").select("id"), kept.where("key IS NOT NULL")
+    size = kept.agg(F.count("h").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).first()
+    lo, hi = (0, 0) if size.lo is None else (size.lo, size.hi)
+
+    segments = max(1, -(-size.n // most_keys), min(-(-size.n // LEAST_KEYS), 2 * spark.sparkContext.defaultParallelism))
+    # hashes are even over the segments; a tenth more room keeps the rate where one gets a little more than its share
+    bits = max(1024, int(1.1 * bits_per_key * size.n / segments))
+    met = firsts.select("h", "id").repartition(segments, "h").sortWithinPartitions("id")
+    answers = stage(met.mapInArrow(_asked(bits), "id bigint, h bigint, maybe boolean"), "seen-answers")
+
+    # rows of one hash meet once; the earliest of each key is settled among them, hash partitions hold whole keys
+    wanted = firsts.join(answers.where("maybe").select("h"), "h", "left_semi")
+    before = F.min(F.coalesce("id", F.lit(-(2**63)))).over(Window.partitionBy("h", "key"))
+    # a null id, the archive's, is before any other
+    verified = stage(wanted.withColumn("before", before).where(F.col("id") > F.col("before")).select("id"), "seen-verified")
+    rows = repeats.unionByName(verified).select(F.col("id").alias(order))
+    return Seen(rows, answers, verified, repeats, lo, hi)

@@ -49,13 +49,13 @@ def run(spark, rows, **kw):
 def test_survivors_against_brute_force(spark):
     rows = data(900, 5)
     rows += [(10_000 + i, *r[1:]) for i, r in enumerate(rows[:100])]  # repeated rows
-    got = run(spark, rows, chunk=8).collect()  # chunks far smaller than the hot key's front
+    got = run(spark, rows).collect()
     assert {r.key: (r.sibling_id, r.n_filled) for r in got} == brute(rows) and len(got) == len(brute(rows))
 
 
-def test_antichain_larger_than_a_chunk(spark):
+def test_antichain(spark):
     rows = [(i, "k", "n", b'{"a":1}', {"a": i, "b": 60 - i}, False, "", "") for i in range(60)] + [(99, "k", "n", b'{"a":1,"b":2}', {"a": 3, "b": 4}, False, "", "")]
-    got = run(spark, rows, chunk=4).collect()
+    got = run(spark, rows).collect()
     assert [(r.key, r.sibling_id) for r in got] == [("k", 0)]
 
 
@@ -101,7 +101,13 @@ def test_posteriors(spark):
     assert r.record == {"f": "x", "g": "z"} and 0.5 < r.confidence["f"] <= 1 and r.sibling_id == 3
 
 
-def test_front_keeps_other_columns(spark):
-    df = spark.createDataFrame([("k", {"a": 1}, 1), ("k", {"a": 2}, 2)], "key string, c map<string,bigint>, other int")
-    got = fusion.front(df.select("key", fusion.canonical_clock(F.col("c")).alias("clk"), "other")).collect()
-    assert [(r.key, r.other) for r in got] == [("k", 2)]
+def test_source_report(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(300):
+        truth, wrong = str(k), str(rng.randint(1000, 1020))
+        for j, v in enumerate([truth, truth if rng.random() < 0.9 else "x", truth if rng.random() < 0.9 else "y", wrong, wrong]):
+            rows.append((len(rows), f"k{k}", f"s{j}", json.dumps({"a": v}).encode(), {f"s{j}": 1}, False, "", ""))
+    report = {r.source: r for r in fusion.source_report(spark, fusion.fuse(spark.createDataFrame(rows, DDL)).sources).collect()}
+    assert min(report[f"s{j}"].accuracy for j in range(3)) > 0.8 > 0.4 > max(report[f"s{j}"].accuracy for j in (3, 4))
+    assert report["s3"].likeliest_copy == "s4" and report["s3"].copy_probability > 0.9 > report["s0"].copy_probability
