@@ -44,6 +44,8 @@ CODES = {
 BUCKETS = 1 << 15
 WINDOW = 192  # words of a sequence that the model is fitted on
 COUNTS_FROM = 0.2
+#: More languages than there are codes of two or three letters in use are an error.
+MAX_LANGUAGES = 1000
 KNOWN_WORDS = 200_000
 
 _MARKUP = re.compile(
@@ -432,7 +434,8 @@ def train(docs: DataFrame, languages: list[tuple[str, str | None, str | None]],
     draw = F.row_number().over(Window.partitionBy("code").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id"))
     drawn = labels.withColumn("draw", draw).where(F.col("draw") <= per_label).select("doc_id", "code")
     sample = docs.select("doc_id", "text", "cells").join(F.broadcast(drawn), "doc_id").select("doc_id", "code", "text", "cells")
-    rows = sample.mapInArrow(_bodies, "doc_id bigint, code string, bodies array<string>").orderBy("doc_id").collect()
+    rows = sample.mapInArrow(_bodies, "doc_id bigint, code string, bodies array<string>").collect()
+    rows.sort(key=lambda r: (r.doc_id, r.code, r.bodies))
     return fit([r.bodies for r in rows], [r.code for r in rows], [c for c, *_ in languages])
 
 
@@ -442,9 +445,11 @@ def label_languages(docs: DataFrame, languages: DataFrame, *, per_label: int = 8
     langs lists (lang, share of the prose's characters, confidence) by falling share, stretches the (char_from, char_to, lang,
     confidence) of each run of words of one language, in code points of the text. Null or empty texts, and those
     without prose, get empty lists. Texts of any length are read whole. Repeated rows are labelled alike.
-    languages: (code, english_name, own_name), a small table. An empty table of documents gives no rows.
+    languages: (code, english_name, own_name), at most MAX_LANGUAGES rows. An empty table of documents gives no rows.
     """
-    known = [(r.code, r.english_name, r.own_name) for r in languages.orderBy("code").limit(1000).collect()]
+    known = [(r.code, r.english_name, r.own_name) for r in languages.orderBy("code").limit(MAX_LANGUAGES + 1).collect()]
+    if len(known) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages: the field's transitions are a table of all pairs of them")
     resolve = label_resolver(known)
     code = F.pandas_udf(lambda s: s.map(resolve, na_action=None), T.StringType())
     docs = docs.select("doc_id", "lang", "text", "cells")

@@ -1,22 +1,24 @@
 """A training mix of several sources by target shares of tokens.
 
 Tokens are handed out in blocks of equal size by Sainte-Laguë's method: the next block goes to the source of highest
-share / (2 blocks + 1). The same method deals a source's blocks to the shards by the tokens each has, which gives whole
-quotas per shard and source. Within a shard, a source's documents are laid out in an order drawn by a seed and
+share / (2 blocks + 1). The same method deals a source's blocks to groups of shards by the tokens each has, and a group's to
+its shards, which gives whole quotas per shard and source. There are as many groups as shards in a group, so the driver
+and each task hold the square root of the number of shards. Within a shard, a source's documents are laid out in an order drawn by a seed and
 its first blocks are taken, whole documents only, again from the start once all of them are used.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.session import stage
 
-MAX_SHARDS = 4096
 MAX_SOURCES = 10_000
 
 
@@ -89,11 +91,15 @@ def mix(docs: DataFrame, targets: DataFrame, *, total_tokens: int | None = None,
     # the targets are bounded by the check above; staged before the filter on n, which would count a text's tokens once more
     sized = stage(sized.join(F.broadcast(known), "c"), "mix-sizes").where("n > 0")
     have_total = sized.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    shards = int(min(MAX_SHARDS, max(1, -(-have_total // shard_tokens))))
+    shards = max(1, -(-have_total // shard_tokens))
+    in_group = math.isqrt(shards - 1) + 1  # shards of a group
     # a document's place in the drawn order and its shard come from independent hashes
-    drawn = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed), F.lit("shard")), F.lit(shards)).cast("int")).withColumn("draw", F.xxhash64("doc_id", F.lit(seed)))
-    have = {(r.c, r.shard): r.n for r in drawn.groupBy("c", "shard").agg(F.sum("n").alias("n")).collect()}
-    tokens = {c: sum(have.get((c, k), 0) for k in range(shards)) for c in names}
+    drawn = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed), F.lit("shard")), F.lit(shards))).withColumn("draw", F.xxhash64("doc_id", F.lit(seed)))
+    sums = stage(drawn.groupBy("c", "shard").agg(F.sum("n").alias("own")).withColumn("grp", F.floor(F.col("shard") / in_group)), "mix-shards")
+    have: dict[str, dict[int, int]] = {c: {} for c in names}
+    for r in sums.groupBy("c", "grp").agg(F.sum("own").alias("n")).collect():
+        have[r.c][r.grp] = r.n
+    tokens = {c: sum(have[c].values()) for c in names}
     usable = [c for c in names if tokens[c] * wanted[c][2] > 0 and wanted[c][1] > 0]
     share_of = sum(wanted[c][1] for c in usable)
     if total_tokens is None:
@@ -102,14 +108,26 @@ def mix(docs: DataFrame, targets: DataFrame, *, total_tokens: int | None = None,
     quota = dict(zip(usable, apportion([wanted[c][1] for c in usable], blocks, [-(-tokens[c] * wanted[c][2] // block_tokens) for c in usable])))
     plan = []
     for c in usable:
-        own = [have.get((c, k), 0) for k in range(shards)]
-        for k, q in enumerate(apportion(own, quota[c], [-(-t * wanted[c][2] // block_tokens) for t in own])):
+        groups = sorted(have[c])
+        own = [have[c][g] for g in groups]
+        for g, q in zip(groups, apportion(own, quota[c], [-(-t * wanted[c][2] // block_tokens) for t in own])):
             if q:
-                full, rest = divmod(q * block_tokens, own[k])
-                plan.append((c, k, *((full, rest) if full < wanted[c][2] else (wanted[c][2], 0))))
-    quotas = spark.createDataFrame(plan, "c string, shard int, full bigint, rest bigint")
+                plan.append((c, g, q, wanted[c][2]))
+    group_quotas = spark.createDataFrame(plan, "c string, grp bigint, q bigint, most bigint")
+
+    def to_shards(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("shard")
+        own, most = pdf["own"].tolist(), int(pdf["most"].iat[0])
+        out = []
+        for c, k, t, q in zip(pdf["c"], pdf["shard"].tolist(), own, apportion(own, int(pdf["q"].iat[0]), [-(-t * most // block_tokens) for t in own])):
+            if q:
+                full, rest = divmod(q * block_tokens, t)
+                out.append((c, k, *((full, rest) if full < most else (most, 0))))
+        return pd.DataFrame(out, columns=["c", "shard", "full", "rest"])
+
+    quotas = sums.join(group_quotas, ["c", "grp"]).groupBy("c", "grp").applyInPandas(to_shards, "c string, shard bigint, full bigint, rest bigint")
     order = Window.partitionBy("c", "shard").orderBy("draw", "doc_id")
-    laid = drawn.join(F.broadcast(quotas), ["c", "shard"]).withColumn("start", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    laid = drawn.join(quotas, ["c", "shard"]).withColumn("start", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
     # a document belongs to the block its middle lies in, so what is taken is as often above the quota as below
     copies = F.col("full") + F.when(2 * F.col("start") + F.col("n") <= 2 * F.col("rest"), 1).otherwise(0)
     spelt = F.create_map(*[x for c in names for x in (F.lit(c), F.lit(wanted[c][0]))]) if names else F.create_map(F.lit(""), F.lit(""))

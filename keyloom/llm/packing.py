@@ -4,9 +4,10 @@ How many items of which size go together depends only on how many items of each
 most a capacity. So the histogram is gathered (its bound is the capacity, not the data), packed best fit decreasing
 over all items at once, and the items take their places by their rank among those of equal size.
 
-Tiers: items are routed to the smallest context size that holds them. The longest tier is packed first; the gaps its
-windows leave are filled from the shorter tiers, which then are packed in turn. Containers are dealt to step groups
-so that all groups hold about equally many tokens.
+Tiers: items are routed to the smallest context size that holds them; the sizes are those of the containers and, within
+each, its halves, quarters and so on. The longest tier is packed first; the gaps its windows leave are filled from the
+shorter tiers, which then are packed in turn, each into what room is left and new windows. Containers are dealt to step
+groups so that all groups hold about equally many tokens.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from keyloom.session import stage
 
 #: Items of one size ranked in one task.
 RANKED = 1_000_000
+#: Context sizes within a container: the whole, a half, a quarter, ...
+LEVELS = 4
 
 
 @dataclass
@@ -79,11 +82,13 @@ class _Bins:
                 break
 
 
-def lay_out(histogram: dict[int, int], capacities: dict[int, int], tiered: bool) -> Layout:
+def lay_out(histogram: dict[int, int], capacities: dict[int, int], tiered: bool, levels: int = 1) -> Layout:
     """Pack items of the given sizes, each at most the largest capacity.
 
-    ``capacities``: kind to capacity. Tiered, an item is packed in its own tier's containers or in a gap of a longer
-    tier; otherwise there must be one kind, and this is plain best fit decreasing.
+    ``capacities``: kind to capacity. Tiered, an item is packed in its own kind's containers or in a gap of a longer
+    kind; otherwise there must be one kind. Each kind has ``levels`` tiers of its own: only items of a level's tier open
+    containers at that level, and items of all shorter ones fill the gaps before the next level's are packed. One level
+    is plain best fit decreasing.
     """
     sizes = sorted(histogram, reverse=True)
     base, total = {}, 0
@@ -97,12 +102,14 @@ def lay_out(histogram: dict[int, int], capacities: dict[int, int], tiered: bool)
     for i, kind in enumerate(order):
         below = capacities[order[i + 1]] if tiered and i + 1 < len(order) else 0
         bins = _Bins(capacities[kind])
-        for s in sizes:
-            if s > capacities[kind]:
-                continue
-            for items, start, per, offset in bins.place(s, histogram[s] - given[s], s > below):
-                rows.append((base[s] + given[s], kind, start, per, offset, s))
-                given[s] += items
+        bounds = [b for b in (capacities[kind] >> k for k in range(1, levels)) if b > below]
+        for bound in [*bounds, below]:
+            for s in sizes:
+                if s > capacities[kind] or given[s] == histogram[s]:
+                    continue
+                for items, start, per, offset in bins.place(s, histogram[s] - given[s], s > bound):
+                    rows.append((base[s] + given[s], kind, start, per, offset, s))
+                    given[s] += items
         runs[kind] = sorted((start, n, bins.capacity - room) for room, rs in bins.open.items() for start, n in rs)
     cols = list(zip(*sorted(rows))) if rows else [()] * 6
     return Layout(base, *[np.array(c, np.int64) for c in cols], runs)
@@ -147,10 +154,11 @@ def _placer(layouts: dict[int, Layout], per_step: int):
     return place
 
 
-def pack(sizes: DataFrame, containers: dict[str, int], *, tiered: bool, per_step: int = 64) -> DataFrame:
+def pack(sizes: DataFrame, containers: dict[str, int], *, tiered: bool, per_step: int = 64, levels: int = LEVELS) -> DataFrame:
     """Pack ``sizes`` (doc_id, n_tokens) into containers (kind to capacity in tokens).
 
-    tiered: every document goes once into one of the kinds. Otherwise every kind holds all documents. Result: one row
+    tiered: every document goes once into one of the kinds. Otherwise every kind holds all documents. Either way a kind's
+    containers are packed in ``levels`` tiers of context sizes. Result: one row
     per piece: container_kind, container_id, step, doc_id, piece, n_pieces, token_from, token_to (of the document) and
     at (place in the container). Only a document larger than the container (tiered: than the largest) is split, into
     full pieces and a rest. A document without tokens, or with a null number of them, takes no room: its row has no
@@ -172,7 +180,7 @@ def pack(sizes: DataFrame, containers: dict[str, int], *, tiered: bool, per_step
     histogram: dict[int, dict[int, int]] = {p: {} for p in plans}
     for r in items.where("size > 0").groupBy("plan", "size").agg(F.count(F.lit(1)).alias("c")).collect():
         histogram[r.plan][r.size] = r.c
-    layouts = {p: lay_out(histogram[p], plans[p], tiered) for p in plans}
+    layouts = {p: lay_out(histogram[p], plans[p], tiered, levels) for p in plans}
     spark = sizes.sparkSession
     # at most one row per plan and size, so bounded by the capacities
     known = [(p, s, layouts[p].base[s], -(-c // RANKED)) for p, h in histogram.items() for s, c in h.items()]
@@ -213,6 +221,27 @@ def fill_report(packed: DataFrame, containers: dict[str, int]) -> DataFrame:
     )
 
 
+def audit(packed: DataFrame, sizes: DataFrame, containers: dict[str, int]) -> DataFrame:
+    """What a packing of all documents into each kind promises, per kind: documents; those whose tokens aren't all there just
+    once; those split though they fit; containers beyond their capacity, and with items that overlap or leave gaps between them."""
+    capacity = F.create_map(*[x for k, c in containers.items() for x in (F.lit(k), F.lit(c).cast("bigint"))])[F.col("container_kind")]
+    length = F.col("token_to") - F.col("token_from")
+    docs = packed.groupBy("container_kind", "doc_id").agg(
+        F.sum(length).alias("tokens"), F.max("token_to").alias("last"), F.count_distinct("piece").alias("pieces"), F.count(F.lit(1)).alias("rows"), F.max("n_pieces").alias("n_pieces")
+    )
+    n = F.coalesce(F.col("n_tokens"), F.lit(0))
+    whole = (F.col("tokens") == n) & (F.col("last") == n) & (F.col("pieces") == F.col("n_pieces")) & (F.col("rows") == F.col("n_pieces"))
+    kinds = sizes.sparkSession.createDataFrame([(k,) for k in sorted(containers)], "container_kind string")
+    wanted = sizes.select("doc_id", "n_tokens", F.explode(F.array(*[F.lit(k) for k in sorted(containers)])).alias("container_kind"))
+    by_doc = wanted.join(docs, ["container_kind", "doc_id"], "left").groupBy("container_kind").agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(~F.coalesce(whole, F.lit(False))).alias("incomplete"), F.count_if((F.col("n_pieces") > 1) & (n <= capacity)).alias("split")
+    )
+    boxes = packed.where("container_id IS NOT NULL").groupBy("container_kind", "container_id").agg(F.sum(length).alias("held"), F.max(F.col("at") + length).alias("end"), F.count_distinct("at").alias("places"), F.count(F.lit(1)).alias("items"))
+    by_box = boxes.groupBy("container_kind").agg(F.count_if(F.col("end") > capacity).alias("overfull"), F.count_if((F.col("held") != F.col("end")) | (F.col("places") != F.col("items"))).alias("overlapping"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    return kinds.join(by_doc, "container_kind", "left").join(by_box, "container_kind", "left").select("container_kind", *map(zero, ("documents", "incomplete", "split", "overfull", "overlapping")))
+
+
 def staged_sizes(docs: DataFrame, size, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens), counted once and kept in the shared folder: packing reads it several times."""
     return stage(docs.select(F.col(doc_id).alias("doc_id"), size.alias("n_tokens")), "sizes")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyloom.llm import fusion, langid, mixing, packing, seen
@@ -44,16 +44,25 @@ def _containers(spark: SparkSession, sf_dir: str) -> dict[str, int]:
     return {r.container_kind: r.capacity_tokens for r in table(spark, sf_dir, "containers").collect()}
 
 
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.staged_sizes(table(spark, sf_dir, "documents"), n_tokens("text"))
+
+
 def _packed(spark: SparkSession, sf_dir: str, tiered: bool) -> DataFrame:
-    sizes = packing.staged_sizes(table(spark, sf_dir, "documents"), n_tokens("text"))
-    return packing.pack(sizes, _containers(spark, sf_dir), tiered=tiered)
+    return packing.pack(_sizes(spark, sf_dir), _containers(spark, sf_dir), tiered=tiered)
 
 
 def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All notebooks in containers of each capacity."""
+    """All notebooks in containers of each capacity, each packed in tiers of context sizes."""
     return _packed(spark, sf_dir, tiered=False)
 
 
+def p6_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether that packing keeps its promises: whole documents, none split that fits, nothing overfull or overlapping."""
+    sizes, kinds = _sizes(spark, sf_dir), _containers(spark, sf_dir)
+    return packing.audit(packing.pack(sizes, kinds, tiered=False), sizes, kinds)
+
+
 def p6_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every notebook once, in a container of its own tier or in a gap of a longer one."""
     return _packed(spark, sf_dir, tiered=True)
@@ -76,6 +85,25 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).shares
 
 
+def p7_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The apportionment with code points for sizes, which SQL can count: what each source has, and its blocks."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("n_chars").alias("n_tokens"))
+    return mixing.mix(docs, table(spark, sf_dir, "mix_targets")).shares.select("source", "available_tokens", "quota_blocks")
+
+
+def p7_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the mix keeps its promises, per target: notebooks taken of another source, listed twice or too often used, and whether
+    the share reached is within 1 % of all tokens of the target, scaled to the sources that have documents."""
+    docs, m = table(spark, sf_dir, "documents"), _mix(spark, sf_dir)
+    taken = m.rows.join(docs.select("doc_id", mixing.canonical_source(F.col("source")).alias("c")), "doc_id").join(m.shares.select("source", "max_repeats"), "source")
+    per = taken.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("copies") > F.col("max_repeats")).alias("over"), F.max(F.col("c") != mixing.canonical_source(F.col("source"))).alias("foreign"))
+    bad = per.groupBy("source").agg(F.count_if(F.col("n") > 1).alias("twice"), F.count_if("over").alias("over_repeated"), F.count_if("foreign").alias("foreign"))
+    has = F.when(F.col("available_tokens") * F.col("max_repeats") > 0, F.col("target_share")).otherwise(0.0)
+    scaled = m.shares.withColumn("wanted", has / F.sum(has).over(Window.partitionBy()))  # a row per target
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    return scaled.join(bad, "source", "left").select("source", *map(zero, ("twice", "over_repeated", "foreign")), (F.abs(F.col("actual_share") - F.col("wanted")) < 0.01).alias("share_reached"))
+
+
 def _labelled(spark: SparkSession, sf_dir: str, stretches: bool) -> DataFrame:
     return langid.label_languages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "languages"), stretches=stretches)
 
@@ -96,7 +124,7 @@ def p8_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labelled(spark, sf_dir, stretches=False).select("doc_id", "label", "label_code", top["lang"].alias("lang"), top["share"].alias("share"), top["confidence"].alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_records, p3_sources, p5_found, p5_errors, p5_accuracy, p6_pack, p6_tiers, p6_fill, p7_mix, p7_shares, p8_found, p8_stretches, p8_labels)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_records, p3_sources, p5_found, p5_errors, p5_accuracy, p6_pack, p6_audit, p6_tiers, p6_fill, p7_mix, p7_shares, p7_quotas, p7_audit, p8_found, p8_stretches, p8_labels)}
 
 _PLACEHOLDERS = ", ".join(f"'{p}'" for p in sorted(fusion.PLACEHOLDERS))
 
@@ -132,5 +160,18 @@ WITH firsts AS (SELECT key, min(request_id) AS first_id FROM put_requests WHERE
      old AS (SELECT DISTINCT key FROM archived_keys WHERE key IS NOT NULL)
 SELECT p.request_id FROM put_requests p JOIN firsts f ON p.key = f.key LEFT JOIN old o ON p.key = o.key
 WHERE o.key IS NOT NULL OR p.request_id > f.first_id
+""",
+    "p6_audit": """
+SELECT container_kind, (SELECT count(*) FROM documents) AS documents, 0 AS incomplete, 0 AS split, 0 AS overfull, 0 AS overlapping FROM containers
+""",
+    "p7_audit": "SELECT source, 0 AS twice, 0 AS over_repeated, 0 AS foreign, true AS share_reached FROM mix_targets",
+    "p7_quotas": r"""
+WITH t AS (SELECT source, regexp_replace(lower(source), '[\s_\-]+', '', 'g') AS c, target_share AS share, max_repeats AS most FROM mix_targets),
+     d AS (SELECT regexp_replace(lower(source), '[\s_\-]+', '', 'g') AS c, sum(n_chars) AS n FROM documents WHERE n_chars > 0 GROUP BY 1),
+     s AS (SELECT t.*, coalesce(n, 0)::BIGINT AS n FROM t LEFT JOIN d USING (c)),
+     u AS (SELECT * FROM s WHERE n * most > 0 AND share > 0),
+     b AS (SELECT greatest(1, floor(floor(min(n * most * (SELECT sum(share) FROM u) / share)) / 1024))::BIGINT AS blocks FROM u),
+     q AS (SELECT c, row_number() OVER (ORDER BY share / (2 * i + 1) DESC, c) AS seat FROM u, LATERAL (SELECT unnest(range(CAST(ceil(n * most / 1024.0) AS BIGINT))) AS i))
+SELECT source, n AS available_tokens, (SELECT count(*) FROM q, b WHERE q.c = s.c AND seat <= blocks) AS quota_blocks FROM s
 """,
 }

@@ -59,3 +59,13 @@ def test_edges(spark):
         assert m.rows.count() == 0 and m.shares.count() == len([x for x in t if x[0]])
     m = run(spark, [(1, "a", 10**6)], [("A", 1.0, 2), (" a", 0.5, 3)])
     assert [(r.doc_id, r.copies) for r in m.rows.collect()] == [(1, 2)]
+
+
+def test_many_shards(spark):
+    """Hundreds of shards in groups: quotas add up, and shares hold however small the shards are."""
+    d = [(i, "ab"[i % 3 == 0], 50 + i % 40) for i in range(9000)]
+    m = run(spark, d, [("a", 0.7, 1), ("b", 0.3, 2)], block_tokens=32, shard_tokens=1500)
+    got = {r.source: r for r in m.shares.collect()}
+    assert abs(got["a"].actual_share - 0.7) < 0.02
+    assert sum(r.n_tokens * r.copies for r in m.rows.collect()) == sum(r.tokens for r in got.values())
+    assert all(abs(r.tokens - 32 * r.quota_blocks) < 0.03 * r.tokens for r in got.values())

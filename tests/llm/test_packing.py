@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from keyloom.llm import packing
 from keyloom.llm.packing import fill_report, lay_out, pack
@@ -81,3 +82,30 @@ def test_edges(spark):
     assert sum(r.token_to - r.token_from for r in f([(1, 100_000)], tiered=True)) == 100_000
     with pytest.raises(ValueError):
         pack(spark.createDataFrame([(1, 1)], "doc_id bigint, n_tokens bigint"), {}, tiered=True)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=120), st.integers(1, 6))
+def test_tiers_are_packed_one_after_another(sizes, levels):
+    """Every item once and no container over its capacity; no window holds only items shorter than the tier before it needs."""
+    lay = lay_out(dict(Counter(sizes)), {0: 64}, False, levels)
+    runs = lay.runs[0]
+    assert sum(n * fill for _, n, fill in runs) == sum(sizes) and all(0 < fill <= 64 for _, _, fill in runs)
+    # two items of the longest tier never share a window, so there are at least as many windows
+    assert sum(n for _, n, _ in runs) >= sum(s > 32 for s in sizes)
+
+
+def test_longest_tier_is_filled_first():
+    # 40 + 24 fills a window; best fit decreasing would put 30 + 30 together and open a third window for 24
+    tiers = lay_out({40: 1, 30: 2, 24: 1, 4: 1}, {0: 64}, False, 2)
+    assert sorted(fill for _, n, fill in tiers.runs[0] for _ in range(n)) == [64, 64]
+
+
+def test_audit_finds_faults(spark):
+    sizes = spark.createDataFrame([(1, 5), (2, 20), (3, None)], "doc_id bigint, n_tokens bigint")
+    good = pack(sizes, {"k": 8}, tiered=False)
+    row = lambda df: tuple(packing.audit(df, sizes, {"k": 8}).collect()[0])
+    assert row(good) == ("k", 3, 0, 0, 0, 0)
+    assert row(good.where("doc_id <> 1"))[2] == 1 and row(good.union(good.where("doc_id = 1")))[2] == 1
+    assert row(good.withColumn("at", F.lit(4).cast("bigint")))[4:] != (0, 0)
+    assert row(good.withColumn("n_pieces", F.lit(2).cast("bigint")))[3] >= 1
