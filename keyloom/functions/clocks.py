@@ -57,4 +57,4 @@ def version_of(clock: Column) -> Column:
 
 def canonical(clock: Column) -> Column:
     """``n1=c1,n2=c2`` by node: compared as text, so a counter of 10 comes before one of 9."""
-    return F.concat_ws(",", F.transform(F.sort_array(F.map_entries(clock)), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))))
+    return F.when(clock.isNotNull(), F.concat_ws(",", F.transform(F.sort_array(F.map_entries(clock)), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))))

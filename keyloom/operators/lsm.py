@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.operators.running import running_total
@@ -87,10 +87,7 @@ def swap_runs(live: DataFrame, obsolete: DataFrame, added: DataFrame, on: str =
 
 def replace_put(entries: DataFrame, order: str = "seq") -> DataFrame:
     """Administrative puts: each replaces what its key held, with the next version; the last write and its version per key."""
-    w = Window.partitionBy("key").orderBy(order)
-    return entries.withColumn("version", F.row_number().over(w)).groupBy("key").agg(
-        F.max_by(F.struct("value"), "version").alias("v"), F.max("version").alias("version")
-    ).select("key", F.col("v.value").alias("value"), "version")
+    return entries.groupBy("key").agg(F.max_by(F.struct("value"), order).alias("v"), F.count(F.lit(1)).alias("version")).select("key", F.col("v.value").alias("value"), "version")
 
 
 def read_as_of(log: DataFrame, index: int) -> DataFrame:

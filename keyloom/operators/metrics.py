@@ -63,6 +63,19 @@ def quantile_lines(summary: DataFrame, node: str, name: str = "operation_latency
     return summary.select(F.col(node).alias("node"), F.posexplode(F.array(*lines)).alias("line_no", "line"))
 
 
+#: The roles a member of a replicated log can hold, in the order they are shown.
+ROLES = ("leader", "candidate", "follower")
+
+
+def member_lines(status: DataFrame, node: str, prefix: str = "keyloom") -> DataFrame:
+    """(node, line_no, line) for members (node, role, leader): a gauge of 1 for the role held and 0 for the others, and one that
+    names the leader known, 0 for an empty name."""
+    n = escape_label(F.col(node))
+    line = lambda name, label, of, value: F.concat(F.lit(f'{prefix}_{name}{{node="'), n, F.lit(f'",{label}="'), of, F.lit('"} '), value.cast("int").cast("string"))
+    roles = [line("raft_role", "role", F.lit(r), F.lower("role") == r) for r in ROLES]
+    return status.select(F.col(node).alias("node"), F.posexplode(F.array(*roles, line("raft_leader", "leader", escape_label(F.col("leader")), F.col("leader") != ""))).alias("line_no", "line"))
+
+
 def parse_exposition(lines: DataFrame, line: str = "line") -> DataFrame:
     """(metric, labels, value) of each sample line; comments and what is no sample are left out."""
     pattern = r"^([A-Za-z_:][\w:]*)(?:\{(.*)\})?\s+([-+]?(?:[0-9.]+(?:[eE][-+]?[0-9]+)?|Inf|NaN))\s*$"
@@ -76,6 +89,7 @@ def amplification_report(measurements: DataFrame) -> DataFrame:
     """(line_no, line): a table row per measurement (label, sstable_bytes, user_bytes, live_bytes, logical_bytes, read_amp, tables)."""
     m = measurements.withColumn("w", ratio("sstable_bytes", "user_bytes")).withColumn("s", ratio("live_bytes", "logical_bytes"))
     body = F.format_string("| %s | %.2f× | %.2f | %.2f× | %d | %.2f |", "label", "w", "read_amp", "s", "tables", F.col("live_bytes") / (1024.0 * 1024.0))
+    # fixed value: the report's header
     head = measurements.sparkSession.createDataFrame([(-2, "| Strategy | Write Amp | Read Amp | Space Amp | Live Tables | On-disk MB |"), (-1, "|---|---|---|---|---|---|")], "line_no bigint, line string")
     return head.unionByName(m.select(F.col("position").cast("bigint").alias("line_no"), body.alias("line")))
 

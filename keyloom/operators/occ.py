@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RESULT = "key string, idx bigint, op string, success boolean, version bigint, value string"
@@ -85,6 +85,16 @@ def apply_requests(requests: DataFrame) -> DataFrame:
     return easy.unionByName(hard)
 
 
+def after_clear(requests: DataFrame, at: int | Column) -> DataFrame:
+    """The requests that count once the store was cleared after ``idx`` = at: values and counters begin anew."""
+    return requests.where(F.col("idx") > at)
+
+
+def size(results: DataFrame) -> DataFrame:
+    """(size): keys present after all requests."""
+    return current(results).agg(F.count(F.lit(1)).alias("size"))
+
+
 def current(results: DataFrame) -> DataFrame:
     """(key, version, value) of the keys present after all requests."""
     last = results.groupBy("key").agg(F.max_by(F.struct("version", "value"), "idx").alias("s"))

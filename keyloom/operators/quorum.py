@@ -5,13 +5,27 @@ Answers are rows (req, node, is_primary, latency_ms, ok, ...): one per replica a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.functions import clocks
 from keyloom.operators.siblings import causal_front, merge_siblings, next_clock, resolve
 
 
+#: Named configurations as (n, w, r).
+PRESETS = {
+    "STRONG_CONSISTENCY": (5, 3, 3),
+    "EVENTUAL_CONSISTENCY": (5, 1, 1),
+    "WRITE_HEAVY": (5, 1, 5),
+    "READ_HEAVY": (5, 5, 1),
+}
+
+
+def presets(spark: SparkSession) -> DataFrame:
+    """The named configurations (name, n, w, r, pw, pr); none asks for primaries."""
+    return spark.createDataFrame([(name, *nwr, 0, 0) for name, nwr in PRESETS.items()], "name string, n int, w int, r int, pw int, pr int")
+
+
 def config_predicates(configs: DataFrame) -> DataFrame:
     """configs (n, w, r, pw, pr) with valid, overlap, read_your_writes, write_tolerance, read_tolerance and available_during_partition."""
     n, w, r, pw, pr = (F.col(c) for c in ("n", "w", "r", "pw", "pr"))
@@ -118,13 +132,22 @@ def failure_cause(kind: Column) -> Column:
     return F.when(kind.isNull() | k.isin("UNAVAILABLE", "ILLEGAL_STATE"), "UNAVAILABLE_NODE").when(k.isin("DEADLINE_EXCEEDED", "CANCELLED"), "DROPPED_MESSAGE").otherwise("UNKNOWN")
 
 
-def completion(acks: DataFrame, w: int, deadline_ms: int, pw: int = 0) -> DataFrame:
-    """(req, completed_ms, met): the w-th smallest ack latency (and the pw-th primary's), if within the deadline."""
+def completion(acks: DataFrame, w: int, deadline_ms: int, pw: int = 0, reads: DataFrame | None = None, r: int = 1) -> DataFrame:
+    """(req, completed_ms, met): the w-th smallest ack latency (and the pw-th primary's), if within the deadline.
+
+    With ``reads`` (req, ok, latency_ms), a write first reads the clocks of ``r`` replicas: it begins at the r-th smallest answer,
+    and both count to the deadline.
+    """
     lat = lambda cond: F.sort_array(F.collect_list(F.when(cond, F.col("latency_ms"))))
     g = acks.groupBy("req").agg(lat(F.col("ok")).alias("l"), lat(F.col("ok") & F.col("is_primary")).alias("p"))
     nth = lambda a, i: F.expr(f"try_element_at({a}, {i})")
     done = nth("l", w) if not pw else F.when(nth("l", w).isNotNull() & nth("p", pw).isNotNull(), F.greatest(nth("l", w), nth("p", pw)))
-    return g.select("req", done.alias("d")).select("req", F.when(F.col("d") <= deadline_ms, F.col("d")).alias("completed_ms"), F.coalesce(F.col("d") <= deadline_ms, F.lit(False)).alias("met"))
+    if reads is None:
+        timed = g.select("req", done.alias("d"))
+    else:
+        first = reads.groupBy("req").agg(lat(F.col("ok")).alias("a")).select("req", nth("a", r).alias("begin"))
+        timed = g.join(first, "req", "left").select("req", (F.col("begin") + done).alias("d"))
+    return timed.select("req", F.when(F.col("d") <= deadline_ms, F.col("d")).alias("completed_ms"), F.coalesce(F.col("d") <= deadline_ms, F.lit(False)).alias("met"))
 
 
 def hedge_decision(acks: DataFrame, w: int, delay_ms: int) -> DataFrame:

@@ -71,9 +71,10 @@ def merged_clock(rows: DataFrame) -> DataFrame:
     return per.groupBy("key").agg(F.map_from_entries(F.sort_array(entries)).alias("clock"))
 
 
-def next_clock(rows: DataFrame, coordinator: str) -> DataFrame:
-    """The clock of the coordinator's next write: all it observed, one further at its own node."""
-    return merged_clock(rows).select("key", clocks.increment(F.col("clock"), coordinator).alias("clock"))
+def next_clock(rows: DataFrame, coordinator: str, issued: DataFrame | None = None) -> DataFrame:
+    """The clock of the coordinator's next write: all it observed and the clock it ``issued`` last (key, clock), one further at its own node."""
+    known = rows.select("key", "clock")
+    return merged_clock(known if issued is None else known.unionByName(issued.select("key", "clock"))).select("key", clocks.increment(F.col("clock"), coordinator).alias("clock"))
 
 
 def client_scan(siblings: DataFrame, start: str | None = None, end: str | None = None, limit: int = 0) -> DataFrame:
@@ -84,6 +85,13 @@ def client_scan(siblings: DataFrame, start: str | None = None, end: str | None =
     return out.limit(limit) if limit > 0 else out
 
 
+def client_get(siblings: DataFrame) -> DataFrame:
+    """(key, found, n_siblings, value): what a single node answers per key. Deleted siblings are absent; the value is given only if there is just one."""
+    alive = ~F.coalesce(F.col("tombstone"), F.lit(False))
+    g = siblings.groupBy("key").agg(F.count_if(alive).alias("n_siblings"), F.max(F.when(alive, F.struct("value"))).alias("v"))
+    return g.select("key", (F.col("n_siblings") > 0).alias("found"), "n_siblings", F.when(F.col("n_siblings") == 1, F.col("v.value")).alias("value"))
+
+
 def as_sets(rows: DataFrame) -> DataFrame:
     """(key, siblings): a key's rows as one array, in canonical order."""
     s = F.struct(clocks.canonical(F.col("clock")).alias("c"), "value", "version", "tombstone", F.sort_array(F.map_entries("clock")).alias("clock"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from keyloom.functions.hashing import Lcg48, zipf_index
 from keyloom.operators.lsm import newest_wins
 from keyloom.operators.running import running_total
+from keyloom.session import stage
 
 #: Shares of read, update, insert, scan and read-modify-write of the standard mixes.
 MIXES = {
@@ -109,6 +110,8 @@ def run_workload(ops: DataFrame, loaded: DataFrame) -> DataFrame:
     ordered by the time they appear; keys of the load, present throughout, are counted by rank, and the few inserted later are
     compared with the scans.
     """
+    # drawn or read once: operations are used for presence, for points and for scans
+    ops = stage(ops, "operations")
     writes = ops.where(F.col("kind").isin("UPDATE", "INSERT", "READ_MODIFY_WRITE")).select("key", "idx")
     born = loaded.select("key", F.lit(-1).cast("bigint").alias("idx")).unionByName(writes).groupBy("key").agg(F.min("idx").alias("born"))
     j = ops.join(born, "key", "left")

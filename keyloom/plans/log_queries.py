@@ -160,6 +160,17 @@ def oc4_current(spark: SparkSession, sf: str) -> DataFrame:
     return occ.current(occ.apply_requests(occ_requests(spark, sf)))
 
 
+def oc4_cleared(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys present, in order, if the store is cleared halfway."""
+    r = occ_requests(spark, sf)
+    half = r.select(F.expr("max(idx) div 2")).scalar()
+    return occ.current(occ.apply_requests(occ.after_clear(r, half))).select("key", "version")
+
+
+def oc4_size(spark: SparkSession, sf: str) -> DataFrame:
+    return occ.size(occ.apply_requests(occ_requests(spark, sf)))
+
+
 def _ops(spark: SparkSession, sf: str) -> DataFrame:
     e = F.col("event_id")
     return table(spark, sf, "events").select(
@@ -196,6 +207,17 @@ def sk8_exposition(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.exposition(m, "node", COUNTERS, {"latency_total_ms": "Latency."})
 
 
+def sk8_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.quantile_lines(metrics.latency_summary(_ops(spark, sf), "latency_ms", "node"), "node")
+
+
+def sk8_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Role and leader of every event's node as exposition lines, counted."""
+    e = F.col("event_id")
+    status = table(spark, sf, "events").select(F.concat(F.lit("n"), e % 5).alias("node"), F.element_at(F.array(F.lit("LEADER"), F.lit("CANDIDATE"), F.lit("FOLLOWER")), (e % 3 + 1).cast("int")).alias("role"), F.when(e % 4 > 0, F.concat(F.lit('n"'), e % 4)).otherwise("").alias("leader"))
+    return metrics.member_lines(status, "node").groupBy("node", "line_no", "line").agg(F.count(F.lit(1)).alias("n"))
+
+
 def sc15_parse(spark: SparkSession, sf: str) -> DataFrame:
     """The exposition read back."""
     lines = metrics.exposition(metrics.operation_metrics(_ops(spark, sf), "node"), "node", COUNTERS, {"latency_total_ms": "Latency."})
@@ -265,7 +287,7 @@ def ex1_outages(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (rl1_at_most_once, rl2_state, rl3_results, rl4_sessions, rl5_replay, rl5_state, rl5_gaps, rl6_merge, rl7_check, rl8_commit, rl9_votes, rl10_compaction, rl11_replication, rl12_install, rl13_readiness, rl14_barriers,
-              rl15_outcomes, sc13_read_as_of, sk7_snapshot, oc1_set, oc2_oc3_requests, oc4_current, mx1_operations, mx2_latency, mx3_report, mx4_repairs, mx5_hedges, sk8_exposition, sc15_parse, sk9_report, wg1_mixes, wg1_pick,
+              rl15_outcomes, sc13_read_as_of, sk7_snapshot, oc1_set, oc2_oc3_requests, oc4_current, oc4_cleared, oc4_size, mx1_operations, mx2_latency, mx3_report, mx4_repairs, mx5_hedges, sk8_exposition, sk8_quantiles, sk8_members, sc15_parse, sk9_report, wg1_mixes, wg1_pick,
               wg2_wg5_load, wg3_run, wg4_zeta, wg6_replay, fp1_drops, fp2_delivery, fp3_reachable, ex1_outages)
 }
 
@@ -287,6 +309,30 @@ _METRICS = """, m AS (SELECT node, count(*) AS operations, count(*) FILTER (type
 _RANK = "list_sort(list({v}))[CAST(ceil({p} * count(*)) AS BIGINT)]"
 _MSG = "WITH msg AS (SELECT 'm' || event_id AS message, 'n' || (event_id % 5) AS source, 'n' || (event_id // 5 % 5) AS target FROM events)"
 
+# each key's requests one after another
+_OCC = """WITH RECURSIVE q AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY idx) AS rn FROM (SELECT event_id AS idx, 'u' || user_id AS key, 'v' || event_id AS v, event_id % 3 AS expected,
+      CASE WHEN user_id % 3 = 0 OR event_id % 4 = 0 THEN 'SET' WHEN event_id % 4 = 3 THEN 'DELETE' ELSE 'CAS' END AS op FROM events {where})),
+  f AS (SELECT DISTINCT key, 0::BIGINT AS rn, NULL::BIGINT AS idx, NULL::VARCHAR AS op, NULL::BOOLEAN AS ok, 0::BIGINT AS counter, false AS present, 0::BIGINT AS version, NULL::VARCHAR AS value FROM q
+    UNION ALL SELECT key, rn, idx, op, ok, c, CASE WHEN ok THEN op <> 'DELETE' ELSE present END, CASE WHEN ok AND op <> 'DELETE' THEN c ELSE version END, CASE WHEN NOT ok THEN value WHEN op <> 'DELETE' THEN v END FROM (
+      SELECT *, CASE WHEN NOT ok OR op = 'DELETE' THEN counter WHEN op = 'CAS' AND NOT present THEN 1 ELSE counter + 1 END AS c FROM (
+        SELECT q.key, q.rn, q.idx, q.op, q.v, counter, present, version, value,
+          CASE WHEN q.op = 'SET' THEN true WHEN q.op = 'CAS' AND NOT present THEN expected = 0 ELSE present AND version = expected END AS ok FROM f JOIN q ON q.key = f.key AND q.rn = f.rn + 1))),
+  o AS (SELECT key, idx, op, ok AS success, CASE WHEN present THEN version ELSE 0 END AS version, value FROM f WHERE rn > 0),
+  l AS (SELECT key, max(struct_pack(i := idx, version := version, value := value)) AS m FROM o GROUP BY key)"""
+
+
+def _drops_sql(rate: float, seed: int) -> str:
+    """A draw of 64 bits out of seed, message and both nodes, a step a view, in 128-bit numbers cut to 64 after each product."""
+    hash32 = "list_reduce(list_prepend(0::UBIGINT, list_transform(range(1, strlen({t}) + 1), lambda i: ord(substr({t}, i, 1))::UBIGINT)), lambda h, c: (h * 31 + c) % 4294967296)"
+    wide = lambda t: f"(SELECT CASE WHEN x >= 2147483648 THEN (x::UHUGEINT + 18446744069414584320)::UBIGINT ELSE x END FROM (SELECT {hash32.format(t=t)} AS x))"
+    parts = [f"{seed}::UBIGINT", "m", "a", "b"]
+    views = [f"s0 AS (SELECT message, source, target, 0::UBIGINT AS h, {wide('message')} AS m, {wide('source')} AS a, {wide('target')} AS b FROM msg)"]
+    for part in parts:
+        for step in (f"xor(h, {part})", "xor(h, h >> 33)", "((h::UHUGEINT * 18397679294719823053) % 18446744073709551616)::UBIGINT", "xor(h, h >> 33)", "((h::UHUGEINT * 14181476777654086739) % 18446744073709551616)::UBIGINT", "xor(h, h >> 33)"):
+            views.append(f"s{len(views)} AS (SELECT * REPLACE ({step} AS h) FROM s{len(views) - 1})")
+    return _MSG + ", " + ",\n".join(views) + f" SELECT message, source, target, (h >> 11)::DOUBLE * power(2.0, -53) < {rate} AS dropped FROM s{len(views) - 1}"
+
+
 ORACLES = {
     "rl1_at_most_once": with_views("raft_log", body=_APPLY + " SELECT idx, client, seq, outcome FROM ap"),
     "rl2_state": with_views("raft_log", body=_APPLY + " " + _LWW.format(t="(SELECT * FROM ap WHERE outcome = 'APPLIED')")),
@@ -332,6 +378,21 @@ ORACLES = {
     "sc13_read_as_of": with_views("raft_log", body=_LWW.format(t="(SELECT * FROM raft_log WHERE idx <= (SELECT max(idx) // 2 FROM raft_log))")),
     "sk7_snapshot": with_views("raft_log", body="SELECT *, (SELECT max(idx) FROM raft_log) AS last_included_index FROM (" + _LWW.format(t="raft_log") + ")"),
     "oc1_set": "SELECT 'u' || user_id AS key, event_id AS idx, 'v' || event_id AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS version FROM events WHERE user_id % 3 = 0 OR event_id % 4 = 0",
+    "oc2_oc3_requests": _OCC.format(where="") + " SELECT key, idx, op, success, version FROM o",
+    "oc4_current": _OCC.format(where="") + " SELECT key, m.version AS version, m.value AS value FROM l WHERE m.version > 0",
+    "oc4_cleared": _OCC.format(where="WHERE event_id > (SELECT max(event_id) // 2 FROM events)") + " SELECT key, m.version AS version FROM l WHERE m.version > 0",
+    "oc4_size": _OCC.format(where="") + " SELECT count(*) AS size FROM l WHERE m.version > 0",
+    "fp1_drops": _drops_sql(0.25, 7),
+    "wg1_mixes": """WITH m AS (SELECT * FROM (VALUES ('A', [0.5, 0.5, 0.0, 0.0, 0.0]), ('B', [0.95, 0.05, 0.0, 0.0, 0.0]), ('C', [1.0, 0.0, 0.0, 0.0, 0.0]), ('D', [0.95, 0.0, 0.05, 0.0, 0.0]), ('E', [0.0, 0.0, 0.05, 0.95, 0.0]), ('F', [0.5, 0.0, 0.0, 0.0, 0.5])) t(workload, s))
+      SELECT workload, ['READ', 'UPDATE', 'INSERT', 'SCAN', 'READ_MODIFY_WRITE'][i] AS kind, s[i]::DOUBLE AS share, list_sum(s[1:i])::DOUBLE AS upper FROM m, range(1, 6) r(i)""",
+    "sk8_quantiles": _OPS + ", q AS (SELECT node, " + ", ".join(f"{_RANK.format(v='latency_ms', p=p)} AS p{n}" for p, n in ((0.5, 50), (0.95, 95), (0.99, 99))) + """ FROM ops GROUP BY node)
+      SELECT node, unnest([0, 1, 2]) AS line_no, 'keyloom_operation_latency_ms{node="' || node || '",quantile="' || unnest(['0.5', '0.95', '0.99']) || '"} ' || unnest([p50, p95, p99]) AS line FROM q""",
+    "sk8_members": """WITH s AS (SELECT 'n' || (event_id % 5) AS node, event_id % 3 AS r, CASE WHEN event_id % 4 > 0 THEN 'n' || chr(92) || chr(34) || (event_id % 4) ELSE '' END AS leader FROM events),
+      x AS (SELECT node, unnest([0, 1, 2, 3]) AS line_no, unnest(['role="leader"} ' || CAST(r = 0 AS INTEGER), 'role="candidate"} ' || CAST(r = 1 AS INTEGER), 'role="follower"} ' || CAST(r = 2 AS INTEGER), 'leader="' || leader || '"} ' || CAST(leader <> '' AS INTEGER)]) AS t FROM s)
+      SELECT node, line_no, 'keyloom_raft_' || CASE WHEN line_no < 3 THEN 'role' ELSE 'leader' END || '{node="' || node || '",' || t AS line, count(*) AS n FROM x GROUP BY ALL""",
+    "sk9_report": _OPS + """, m AS (SELECT node, sum(replicas) * 4096 AS b, count(*) * 4096 AS u, sum(replicas) * 2048 AS live FROM ops GROUP BY node)
+      SELECT CAST(substr(node, 2) AS BIGINT) AS line_no, '| ' || node || ' | ' || printf('%.2f', b / u) || '× | 1.50 | 0.00× | 3 | ' || printf('%.2f', live / 1048576.0) || ' |' AS line FROM m
+      UNION ALL SELECT -2, '| Strategy | Write Amp | Read Amp | Space Amp | Live Tables | On-disk MB |' UNION ALL SELECT -1, '|---|---|---|---|---|---|'""",
     "mx1_operations": _OPS + _METRICS + " SELECT * FROM m",
     "mx2_latency": _OPS + " SELECT node, " + ", ".join(f"{_RANK.format(v='latency_ms', p=p)} AS p{n}" for p, n in ((0.5, 50), (0.95, 95), (0.99, 99))) + " FROM ops GROUP BY node",
     "mx3_report": _OPS + f" SELECT type, count(*) AS n, min(latency_ms) AS min, {_RANK.format(v='latency_ms', p=0.5)} AS median, {_RANK.format(v='latency_ms', p=0.95)} AS p95, max(latency_ms) AS max FROM ops GROUP BY type",

@@ -24,6 +24,11 @@ def vc1_increment(spark: SparkSession, sf: str) -> DataFrame:
     return _rows(spark, sf).select("row_id", clocks.canonical(clocks.increment(F.col("clock"), "b")).alias("clock"))
 
 
+def vc1_initial(spark: SparkSession, sf: str) -> DataFrame:
+    """A first write's clock at each row's node, and the clock of a version from before clocks (null below 0)."""
+    return _rows(spark, sf).select("row_id", clocks.canonical(clocks.initial(F.col("node"))).alias("initial"), clocks.canonical(clocks.legacy(F.col("version") - 2)).alias("legacy"))
+
+
 def vc2_merge(spark: SparkSession, sf: str) -> DataFrame:
     m = siblings.merged_clock(_rows(spark, sf))
     return m.select("key", clocks.canonical(F.col("clock")).alias("clock"))
@@ -63,6 +68,13 @@ def vc10_next_clock(spark: SparkSession, sf: str) -> DataFrame:
     return siblings.next_clock(_rows(spark, sf), "b").select("key", clocks.canonical(F.col("clock")).alias("clock"))
 
 
+def vc10_issued(spark: SparkSession, sf: str) -> DataFrame:
+    """The same where the coordinator issued a clock for some keys that no replica has yet."""
+    r = _rows(spark, sf)
+    issued = r.where("length(key) % 2 = 0").select("key", F.expr("map('b', 7L)").alias("clock"))
+    return siblings.next_clock(r, "b", issued).select("key", clocks.canonical(F.col("clock")).alias("clock"))
+
+
 def vc11_live(spark: SparkSession, sf: str) -> DataFrame:
     return siblings.live(_rows(spark, sf)).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
 
@@ -78,6 +90,10 @@ def sc10_client_scan(spark: SparkSession, sf: str) -> DataFrame:
     return siblings.client_scan(front, "cust2", None, 40)
 
 
+def sc11_client_get(spark: SparkSession, sf: str) -> DataFrame:
+    return siblings.client_get(siblings.merge_siblings(_rows(spark, sf).select("key", "value", "version", "clock", "tombstone")))
+
+
 def sc12_replica_get(spark: SparkSession, sf: str) -> DataFrame:
     """A key's full sibling set, tombstones included."""
     return _shown(siblings.merge_siblings(_rows(spark, sf).where("key = 'cust7'").select("key", "value", "version", "clock", "tombstone")), "tombstone")
@@ -96,6 +112,10 @@ def qr1_configs(spark: SparkSession, sf: str) -> DataFrame:
     return quorum.config_predicates(c.select("n", "w", "r", (F.col("w") - 1).alias("pw"), F.col("r").alias("pr")))
 
 
+def qr1_presets(spark: SparkSession, sf: str) -> DataFrame:
+    return quorum.config_predicates(quorum.presets(spark))
+
+
 def qr2_write_quorum(spark: SparkSession, sf: str) -> DataFrame:
     return quorum.write_quorum(derive.replica_acks(spark, sf), 4, 3)
 
@@ -162,6 +182,18 @@ def qr14_completion(spark: SparkSession, sf: str) -> DataFrame:
     return quorum.completion(derive.replica_acks(spark, sf), 3, 60)
 
 
+def qr14_primaries(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with two of the acks from primaries."""
+    return quorum.completion(derive.replica_acks(spark, sf), 3, 60, pw=2)
+
+
+def qr14_after_read(spark: SparkSession, sf: str) -> DataFrame:
+    """The same after a read of two replicas."""
+    acks = derive.replica_acks(spark, sf)
+    reads = acks.select("req", ((F.col("req") + F.col("node")) % 7 != 0).alias("ok"), ((F.col("req") * 13 + F.col("node") * 7) % 53).alias("latency_ms"))
+    return quorum.completion(acks, 3, 90, reads=reads, r=2)
+
+
 def _history(spark: SparkSession, sf: str) -> DataFrame:
     return derive.op_history(spark, sf)
 
@@ -229,8 +261,8 @@ def ck13_tally(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (vc1_increment, vc2_merge, vc3_order, vc4_siblings, vc5_front, vc6_conflicts, vc7_resolve, vc8_winner, vc9_version, vc10_next_clock, vc11_live, vc13_scalar, sc10_client_scan, sc12_replica_get, sk5_merge_put,
-              qr1_configs, qr2_write_quorum, qr3_read_quorum, qr4_proposed, qr5_qr6_inconsistency, qr7_client_result, qr8_delete, qr9_hints, qr10_replay, qr10_counts, qr11_repair, qr12_causes, qr13_hedge, qr14_completion,
+    for f in (vc1_increment, vc1_initial, vc2_merge, vc3_order, vc4_siblings, vc5_front, vc6_conflicts, vc7_resolve, vc8_winner, vc9_version, vc10_next_clock, vc10_issued, vc11_live, vc13_scalar, sc10_client_scan, sc11_client_get, sc12_replica_get, sk5_merge_put,
+              qr1_configs, qr1_presets, qr2_write_quorum, qr3_read_quorum, qr4_proposed, qr5_qr6_inconsistency, qr7_client_result, qr8_delete, qr9_hints, qr10_replay, qr10_counts, qr11_repair, qr12_causes, qr13_hedge, qr14_completion, qr14_primaries, qr14_after_read,
               ck1_stale_reads, ck2_read_your_writes, ck3_monotonic, ck4_relevant, ck5_by_type, ck6_linearizability, ck7_inconclusive, ck8_witness, ck9_outcomes, ck10_summary, ck11_failing_prefix, ck12_audit, ck13_tally)
 }
 
@@ -262,6 +294,15 @@ _DEAD = f"""SELECT key, max(struct_pack(c := clock, v := value, n := m.n, t := m
 
 ORACLES = {
     "vc1_increment": with_views("replica_values", body="SELECT row_id, " + _TEXT.format(a="ca", b="(cb + 1)", c="cc") + " AS clock FROM replica_values"),
+    "vc1_initial": with_views("replica_values", body="SELECT row_id, node || '=1' AS initial, CASE WHEN version >= 2 THEN 'legacy=' || (version - 2) END AS legacy FROM replica_values"),
+    "vc10_issued": with_views("replica_values", body="," + _MERGED + " SELECT key, " + _TEXT.format(a="ca", b="(CASE WHEN length(key) % 2 = 0 THEN greatest(cb, 7) ELSE cb END + 1)", c="cc") + " AS clock FROM m"),
+    "sc11_client_get": with_views("replica_values", body=f"SELECT key, n > 0 AS found, n AS n_siblings, CASE WHEN n = 1 THEN v END AS value FROM (SELECT key, count(*) FILTER (NOT tombstone) AS n, max(value) FILTER (NOT tombstone) AS v FROM {_KEPT} GROUP BY key)"),
+    "qr1_presets": """SELECT name, n, w, r, 0 AS pw, 0 AS pr, true AS valid, w + r > n AS overlap, false AS read_your_writes, n - w AS write_tolerance, n - r AS read_tolerance, w <= n // 2 OR r <= n // 2 AS available_during_partition
+      FROM (VALUES ('STRONG_CONSISTENCY', 5, 3, 3), ('EVENTUAL_CONSISTENCY', 5, 1, 1), ('WRITE_HEAVY', 5, 1, 5), ('READ_HEAVY', 5, 5, 1)) t(name, n, w, r)""",
+    "qr14_primaries": with_views("replica_acks", body="""SELECT req, CASE WHEN d <= 60 THEN d END AS completed_ms, coalesce(d <= 60, false) AS met FROM (
+      SELECT req, CASE WHEN a IS NOT NULL AND p IS NOT NULL THEN greatest(a, p) END AS d FROM (SELECT req, list_sort(list(latency_ms) FILTER (ok))[3] AS a, list_sort(list(latency_ms) FILTER (ok AND is_primary))[2] AS p FROM replica_acks GROUP BY req))"""),
+    "qr14_after_read": with_views("replica_acks", body="""SELECT req, CASE WHEN d <= 90 THEN d END AS completed_ms, coalesce(d <= 90, false) AS met FROM (
+      SELECT req, list_sort(list(latency_ms) FILTER (ok))[3] + list_sort(list((req * 13 + node * 7) % 53) FILTER ((req + node) % 7 <> 0))[2] AS d FROM replica_acks GROUP BY req)"""),
     "vc2_merge": with_views("replica_values", body="," + _MERGED + " SELECT key, " + _TEXT.format(a="ca", b="cb", c="cc") + " AS clock FROM m"),
     "vc3_order": with_views("replica_values", body="""SELECT row_id, before, after, NOT before AND NOT after AND NOT (ca = 1 AND cb = 1 AND cc = 0) AS concurrent FROM (
       SELECT row_id, ca, cb, cc, ca <= 1 AND cb <= 1 AND cc <= 0 AND (ca < 1 OR cb < 1) AS before, 1 <= ca AND 1 <= cb AND (1 < ca OR 1 < cb OR 0 < cc) AS after FROM replica_values)"""),

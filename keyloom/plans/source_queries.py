@@ -162,5 +162,6 @@ ORACLES = {
     "st1_metrics": log_queries.ORACLES["mx1_operations"],
     "st2_change_feed": DATA["p1_found"],
     "st3_at_most_once": log_queries.ORACLES["rl1_at_most_once"],
+    "st4_requests": log_queries.ORACLES["oc4_current"],
     "st5_siblings": replica_queries.ORACLES["vc4_siblings"],
 }
