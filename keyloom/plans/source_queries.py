@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,7 @@ from keyloom.plans.data_queries import ORACLES as DATA
 from keyloom.plans.derive import with_views
 from keyloom.session import staging_path, table
 from keyloom.sources import binary, codecs
+from keyloom.sources.files import Whole, listed
 from keyloom.streaming import forms
 
 
@@ -24,17 +26,26 @@ def _text(c: str) -> F.Column:
 
 
 def sc6_footer(spark: SparkSession, sf: str) -> DataFrame:
-    """Entries and greatest sequence of written tables, from their footers alone."""
+    """Entries and greatest sequence of written tables, from their last bytes alone."""
     binary.register(spark)
     folder = staging_path(spark, "tables")
     binary.write_tables(lsm.newest_wins(derive.mutations(spark, sf)).withColumn("value", F.col("value").cast("binary")), folder)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(folder)
+    return spark.read.format("kv_table_footer").load(folder).agg(F.sum("entries").alias("entries"), F.max("max_seq").alias("max_seq"))
 
-    @F.pandas_udf("entries bigint, max_seq bigint")
-    def footer(content: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([{"entries": f["count"], "max_seq": f["max_seq"]} for f in (codecs.table_footer(bytes(c)) for c in content)], columns=["entries", "max_seq"])
 
-    return files.select(footer("content").alias("f")).agg(F.sum("f.entries").alias("entries"), F.max("f.max_seq").alias("max_seq"))
+def sk3_writer(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables written from entries in order, and whether the writer refuses the same in falling order of keys."""
+    binary.register(spark)
+    folder = staging_path(spark, "tables")
+    rows = lsm.newest_wins(derive.mutations(spark, sf)).withColumn("value", F.col("value").cast("binary"))
+    binary.write_tables(rows, folder)
+    try:
+        binary.write_tables(rows.repartition(1).sortWithinPartitions(F.desc("key")), f"{folder}-refused", presorted=True)
+        refused = False
+    except PySparkException as e:
+        refused = "keys must increase" in str(e)
+    footers = spark.read.format("kv_table_footer").load(folder)
+    return footers.agg(F.sum("entries").alias("entries"), F.max("max_seq").alias("max_seq")).withColumn("refused", F.lit(refused and not listed(f"{folder}-refused", "*.sst")))
 
 
 def sc8_wal(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,9 +57,14 @@ def sc8_wal(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sc8_wal_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Logs of all mutations beside one whose last frame was cut off after 11 bytes: logs torn, and bytes lost."""
     binary.register(spark)
     folder = staging_path(spark, "wal")
     binary.write_wal(derive.mutations(spark, sf).withColumn("value", F.col("value").cast("binary")), folder, "seq")
+    whole = [codecs.frame(codecs.encode_change(k, b"v")) for k in ("a", "b")]
+    torn = Whole(f"{folder}/torn.wal", "aside")
+    torn.write(whole[0] + whole[1][:11])
+    torn.commit()
     return spark.read.format("kv_wal_status").load(folder).agg(F.count_if(F.col("truncated_at").isNotNull()).alias("torn"), F.sum(F.col("bytes") - F.col("valid_bytes")).alias("lost_bytes"))
 
 
@@ -149,12 +165,13 @@ def st5_siblings(spark: SparkSession, sf: str) -> DataFrame:
     return store.read().select("key", "value", clocks.canonical(F.col("clock")).alias("clock"), "tombstone")
 
 
-QUERIES = {f.__name__: f for f in (sc6_footer, sc8_wal, sc8_wal_status, sc9_tables, sc14_replay, vc12_codec, hr7_fingerprint, st1_metrics, st2_change_feed, st3_at_most_once, st4_requests, st5_siblings)}
+QUERIES = {f.__name__: f for f in (sc6_footer, sk3_writer, sc8_wal, sc8_wal_status, sc9_tables, sc14_replay, vc12_codec, hr7_fingerprint, st1_metrics, st2_change_feed, st3_at_most_once, st4_requests, st5_siblings)}
 
 ORACLES = {
     "sc6_footer": with_views("mutations", body="SELECT count(DISTINCT key) AS entries, max(seq) AS max_seq FROM mutations"),
     "sc8_wal": with_views("mutations", body="SELECT CASE WHEN value IS NULL THEN 'DELETE' ELSE 'PUT' END AS op, key, value FROM mutations WHERE run_id = 4"),
-    "sc8_wal_status": "SELECT 0 AS torn, 0 AS lost_bytes",
+    "sc8_wal_status": "SELECT 1 AS torn, 11 AS lost_bytes",
+    "sk3_writer": with_views("mutations", body="SELECT count(DISTINCT key) AS entries, max(seq) AS max_seq, true AS refused FROM mutations"),
     "sc9_tables": with_views("mutations", body=f"SELECT * FROM ({store_queries._NEWEST.format(t='mutations')}) WHERE key >= 'user0000000020' AND key < 'user0000000090'"),
     "sc14_replay": log_queries.ORACLES["rl5_replay"],
     "vc12_codec": replica_queries.ORACLES["vc4_siblings"],

@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+
+from keyloom.sources.files import Ranges
+
+#: Bytes of a log read at once.
+PIECE = 4 << 20
 
 # Fixed values of the formats.
 MAX_FRAME = 64 << 20
@@ -25,26 +30,38 @@ def frame(payload: bytes) -> bytes:
     return struct.pack(">iI", len(payload), zlib.crc32(payload)) + payload
 
 
-def frames(data: bytes) -> Iterator[tuple[int, bytes]]:
+def frames(data: bytes | Ranges) -> Iterator[tuple[int, bytes]]:
     """(offset, payload) of a log's frames. A torn tail ends the log; a bad checksum with data after it is corruption.
 
-    A length out of bounds reads as a torn tail wherever it stands, as there is no way on from it.
+    A length out of bounds reads as a torn tail wherever it stands, as there is no way on from it. A file is read in pieces.
     """
+    size = len(data) if isinstance(data, bytes) else data.size
+    held, held_at = (data, 0) if isinstance(data, bytes) else (b"", 0)
+
+    def need(at: int, n: int) -> int:
+        """Where in ``held`` the n bytes at ``at`` begin."""
+        nonlocal held, held_at
+        if at < held_at or at + n > held_at + len(held):
+            held, held_at = data.at(at, max(n, PIECE)), at
+        return at - held_at
+
     at = 0
-    while at + 8 <= len(data):
-        n, crc = struct.unpack_from(">iI", data, at)
-        if n < 0 or n > MAX_FRAME or at + 8 + n > len(data):
+    while at + 8 <= size:
+        i = need(at, 8)
+        n, crc = struct.unpack_from(">iI", held, i)
+        if n < 0 or n > MAX_FRAME or at + 8 + n > size:
             return
-        payload = data[at + 8 : at + 8 + n]
+        i = need(at + 8, n)
+        payload = held[i : i + n]
         if zlib.crc32(payload) != crc:
-            if at + 8 + n < len(data):
+            if at + 8 + n < size:
                 raise Corruption(f"bad checksum at offset {at}")
             return
         yield at, payload
         at += 8 + n
 
 
-def valid_bytes(data: bytes) -> int:
+def valid_bytes(data: bytes | Ranges) -> int:
     """Length of the part that :func:`frames` reads: where a writer would cut the file."""
     end = 0
     for at, payload in frames(data):
@@ -75,16 +92,13 @@ def decode_change(payload: bytes) -> tuple[str, str, bytes | None]:
     return ("PUT" if kind == PUT else "DELETE"), (key or b"").decode(), value if kind == PUT else None
 
 
-def encode_table(entries: list[tuple[str, bytes | None, int]], bloom: bytes = b"") -> bytes:
-    """A sorted table: checksummed blocks, filter bytes, sparse index, footer. Keys must strictly increase."""
-    out, index, block, first, last = bytearray(), [], bytearray(), "", None
+def table_bytes(entries: Iterable[tuple[str, bytes | None, int]], bloom: bytes = b"") -> Iterator[bytes]:
+    """A sorted table a block at a time: checksummed blocks, filter bytes, sparse index, footer. Keys must strictly increase."""
+    index, block, first, last, at, count, top = [], bytearray(), "", None, 0, 0, 0
 
-    def close() -> None:
-        nonlocal block
-        if block:
-            index.append((first, len(out), len(block) + 4))
-            out.extend(block + struct.pack(">I", zlib.crc32(bytes(block))))
-            block = bytearray()
+    def close() -> bytes:
+        index.append((first, at, len(block) + 4))
+        return bytes(block) + struct.pack(">I", zlib.crc32(bytes(block)))
 
     for key, value, seq in entries:
         if last is not None and key.encode() <= last.encode():
@@ -92,18 +106,23 @@ def encode_table(entries: list[tuple[str, bytes | None, int]], bloom: bytes = b"
         if not block:
             first = key
         block += _sized(key.encode()) + _sized(value) + struct.pack(">q", seq)
-        last = key
+        last, count, top = key, count + 1, max(top, seq) if count else seq
         if len(block) >= BLOCK_BYTES:
-            close()
-    close()
-    bloom_at = len(out)
-    out += bloom
-    index_at = len(out)
-    out += struct.pack(">i", len(index))
-    for key, at, n in index:
-        out += _sized(key.encode()) + struct.pack(">qi", at, n)
-    head = struct.pack(">qqiq4s", bloom_at, index_at, len(entries), max((s for *_, s in entries), default=0), TABLE_MAGIC)
-    return bytes(out) + head + struct.pack(">I", zlib.crc32(head))
+            out = close()
+            at += len(out)
+            block = bytearray()
+            yield out
+    if block:
+        out = close()
+        at += len(out)
+        yield out
+    tail = bloom + struct.pack(">i", len(index)) + b"".join(_sized(key.encode()) + struct.pack(">qi", offset, n) for key, offset, n in index)
+    head = struct.pack(">qqiq4s", at, at + len(bloom), count, top, TABLE_MAGIC)
+    yield tail + head + struct.pack(">I", zlib.crc32(head))
+
+
+def encode_table(entries: Iterable[tuple[str, bytes | None, int]], bloom: bytes = b"") -> bytes:
+    return b"".join(table_bytes(entries, bloom))
 
 
 def table_footer(tail: bytes) -> dict:
@@ -117,27 +136,38 @@ def table_footer(tail: bytes) -> dict:
     return {"bloom_at": bloom_at, "index_at": index_at, "count": count, "max_seq": max_seq}
 
 
-def table_index(data: bytes, footer: dict) -> list[tuple[str, int, int]]:
-    at = footer["index_at"]
-    (n,) = struct.unpack_from(">i", data, at)
-    at, out = at + 4, []
+class _Bytes:
+    def __init__(self, data: bytes) -> None:
+        self.data, self.size = data, len(data)
+
+    def at(self, offset: int, length: int) -> bytes:
+        return self.data[offset : offset + length]
+
+
+def table_index(data: bytes | Ranges, footer: dict) -> list[tuple[str, int, int]]:
+    """(first key, offset, length) of each block."""
+    source = _Bytes(data) if isinstance(data, bytes) else data
+    raw = source.at(footer["index_at"], source.size - FOOTER.size - footer["index_at"])
+    (n,) = struct.unpack_from(">i", raw, 0)
+    at, out = 4, []
     for _ in range(n):
-        key, at = _block(data, at)
-        offset, length = struct.unpack_from(">qi", data, at)
+        key, at = _block(raw, at)
+        offset, length = struct.unpack_from(">qi", raw, at)
         out.append(((key or b"").decode(), offset, length))
         at += 12
     return out
 
 
-def table_scan(data: bytes, start: str | None = None, end: str | None = None) -> Iterator[tuple[str, bytes | None, int]]:
-    """(key, value, seq) with start <= key < end, tombstones included; blocks outside the bounds aren't read."""
-    index = table_index(data, table_footer(data))
+def table_scan(data: bytes | Ranges, start: str | None = None, end: str | None = None) -> Iterator[tuple[str, bytes | None, int]]:
+    """(key, value, seq) with start <= key < end, tombstones included; only footer, index and the blocks between the bounds are read."""
+    source = _Bytes(data) if isinstance(data, bytes) else data
+    index = table_index(data, table_footer(source.at(max(0, source.size - FOOTER.size), FOOTER.size)))
     for i, (first, at, n) in enumerate(index):
         if end is not None and first.encode() >= end.encode():
             return
         if start is not None and i + 1 < len(index) and index[i + 1][0].encode() <= start.encode():
             continue
-        raw = data[at : at + n]
+        raw = source.at(at, n)
         if zlib.crc32(raw[:-4]) != struct.unpack(">I", raw[-4:])[0]:
             raise Corruption(f"bad block at offset {at}")
         pos, stop = 0, len(raw) - 4

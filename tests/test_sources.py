@@ -69,3 +69,31 @@ def test_read_through_spark(spark, tmp_path):
     status = spark.read.format("kv_wal_status").load(str(tmp_path / "w"))
     assert status.where("truncated_at is not null").count() == 1 and got.count() == 3000
     assert spark.read.format("kv_wal").load(str(tmp_path / "none")).count() == 0
+
+
+def test_only_needed_ranges_are_read(tmp_path):
+    from keyloom.sources.files import Ranges, Whole, listed
+
+    entries = [(f"k{i:06d}", b"x" * 100, i) for i in range(20_000)]
+    path = f"file://{tmp_path}/t/part-0.sst"
+    out = Whole(path, 1)
+    for data in codecs.table_bytes(iter(entries)):
+        out.write(data)
+    assert listed(f"file://{tmp_path}/t", "*.sst") == []  # not there before it is whole
+    out.commit()
+    assert listed(f"file:{tmp_path}/t", "*.sst") and listed(str(tmp_path / "t"), "*.wal") == [] and listed(f"file://{tmp_path}/none", "*") == []
+    with Ranges(path) as f:
+        assert list(codecs.table_scan(f, "k000500", "k000503")) == entries[500:503] and f.read < f.size / 20
+    with Ranges(path) as f:
+        assert list(codecs.table_scan(f)) == entries
+
+
+def test_logs_are_read_in_pieces(tmp_path, monkeypatch):
+    from keyloom.sources.files import Ranges
+
+    data = b"".join(codecs.frame(codecs.encode_change(f"k{i}", b"v" * (i % 300))) for i in range(500))
+    monkeypatch.setattr(codecs, "PIECE", 64)
+    for cut in (0, 1, 9, 200):
+        (tmp_path / "l.wal").write_bytes(data[: len(data) - cut])
+        with Ranges(str(tmp_path / "l.wal")) as f:
+            assert list(codecs.frames(f)) == list(codecs.frames(data[: len(data) - cut]))
