@@ -10,9 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.operators.running import carried, in_ranges
+
 MAX_OPERATIONS = 64
 
 
@@ -23,8 +25,8 @@ def _successful(history: DataFrame, kind: str) -> DataFrame:
 def _last_before(reads: DataFrame, writes: DataFrame, *within: str) -> DataFrame:
     """Each read with the write that ended last by its start: (idx, key, value, w).
 
-    One window per key in place of an as-of join: writes are placed at their end, reads at their start, and the latest write
-    before (or at) a read is carried forward. Of writes that end together the first recorded counts.
+    In place of an as-of join, writes are placed at their end, reads at their start, and the latest write
+    before (or at) a read is carried forward, range by range for a long history. Of writes that end together the first recorded counts.
     """
     group = ["key", *within]
     write = F.struct(F.col("end_ms").alias("e"), (-F.col("idx")).alias("i"), F.col("value").alias("v"))
@@ -32,8 +34,9 @@ def _last_before(reads: DataFrame, writes: DataFrame, *within: str) -> DataFrame
     points = writes.select(*group, F.col("end_ms").alias("at"), F.lit(0).alias("kind"), (-F.col("idx")).alias("tie"), "idx", "value", write.alias("own")).unionByName(
         reads.select(*group, F.col("start_ms").alias("at"), F.lit(1).alias("kind"), F.lit(0).cast("bigint").alias("tie"), "idx", "value", none.alias("own"))
     )
-    order = Window.partitionBy(*group).orderBy("at", "kind", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    return points.withColumn("w", F.last("own", ignorenulls=True).over(order)).where("kind = 1").select("idx", "key", "value", "w")
+    # the latest by this order is also the greatest
+    order = ["at", "kind", "tie", "idx"]
+    return carried(in_ranges(points, group, order), group, order, most={"w": F.col("own")}).where("kind = 1").select("idx", "key", "value", "w")
 
 
 def _as_of(history: DataFrame, own_session: bool) -> DataFrame:
@@ -46,8 +49,9 @@ def _as_of(history: DataFrame, own_session: bool) -> DataFrame:
     reads, writes = _successful(history, "READ"), _successful(history, "WRITE")
     if not own_session:
         return _last_before(reads, writes)
-    by_idx = Window.partitionBy("key").orderBy("idx")
-    ranked = reads.unionByName(writes).withColumn("r", F.row_number().over(by_idx) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    both = in_ranges(reads.unionByName(writes), ["key"], ["idx"])
+    sizes = both.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("key", "__k")
+    ranked = carried(both, ["key"], ["idx"], total={"r": F.lit(1)}).drop("__p").join(sizes, F.col("key").eqNullSafe(F.col("__k"))).drop("__k")
     levels = F.sequence(F.lit(0), F.length(F.bin(F.col("n") - 1)) - 1)
     at = ranked.withColumn("level", F.explode(levels)).withColumn("block", F.expr("shiftright(r, level + 1)")).withColumn("right", F.expr("shiftright(r, level) & 1"))
     found = _last_before(at.where("type = 'READ' AND right = 1"), at.where("type = 'WRITE' AND right = 0"), "level", "block")
@@ -73,9 +77,7 @@ def monotonic_reads(history: DataFrame) -> DataFrame:
     """Reads of a value first written before one that an earlier read has seen; values never written are skipped."""
     first = _successful(history, "WRITE").groupBy("key", "value").agg(F.min("idx").alias("rank"))
     ranked = _successful(history, "READ").join(first.withColumnRenamed("value", "wv").withColumnRenamed("key", "wk"), (F.col("key") == F.col("wk")) & F.col("value").eqNullSafe(F.col("wv")))
-    w = Window.partitionBy("key").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    best = F.max(F.struct("rank", "value")).over(w)
-    return ranked.withColumn("best", best).where(F.col("rank") < F.col("best.rank")).select(
+    return carried(in_ranges(ranked, ["key"], ["idx"]), ["key"], ["idx"], most={"best": F.struct("rank", "value")}).where(F.col("rank") < F.col("best.rank")).select(
         F.lit("MONOTONIC_READ").alias("type"), "key", "idx", F.col("best.value").alias("expected"), F.col("value").alias("observed")
     )
 

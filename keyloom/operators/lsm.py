@@ -69,6 +69,23 @@ def flush(entries: DataFrame, path: str, max_records: int = 5_000_000) -> DataFr
     return entries.sparkSession.read.parquet(path)
 
 
+def flush_runs(entries: DataFrame, path: str, run: str = "run_id") -> DataFrame:
+    """Write each run's merged entries sorted by key into a folder of its own and read all runs back.
+
+    A predicate on the run then picks folders, and one on the key is pushed to the files, where ranges and a membership filter of
+    their row groups rule most of them out.
+    """
+    merged = entries.groupBy(run, "key").agg(F.max_by(F.struct("value"), "seq").alias("__v"), F.max("seq").alias("seq")).select(run, "key", F.col("__v.value").alias("value"), "seq")
+    ordered = merged.repartitionByRange(run, "key").sortWithinPartitions(run, "key")
+    ordered.write.option("parquet.bloom.filter.enabled#key", "true").partitionBy(run).parquet(path)
+    return entries.sparkSession.read.parquet(path)
+
+
+def run_lookup(runs: DataFrame, run_id: int, key: str, run: str = "run_id") -> DataFrame:
+    """A single run's entry for a key, tombstones included; no row if it holds none."""
+    return runs.where((F.col(run) == run_id) & (F.col("key") == key)).select("key", "value", "seq")
+
+
 def compact(inputs: DataFrame, max_bytes: int, drop_tombstones: bool) -> DataFrame:
     """Merged entries cut into output runs: (out_run, key, value, seq).
 

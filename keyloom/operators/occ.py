@@ -10,15 +10,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.operators.running import carried, in_ranges
+
 RESULT = "key string, idx bigint, op string, success boolean, version bigint, value string"
 
 
 def set_versions(writes: DataFrame) -> DataFrame:
     """Versions of unconditional writes: (key, idx, value, version)."""
-    return writes.select("key", "idx", "value", F.row_number().over(Window.partitionBy("key").orderBy("idx")).cast("bigint").alias("version"))
+    before = carried(in_ranges(writes.select("key", "idx", "value"), ["key"], ["idx"]), ["key"], ["idx"], total={"n": F.lit(1)})
+    return before.select("key", "idx", "value", (F.col("n") + 1).cast("bigint").alias("version"))
 
 
 class KeyState:

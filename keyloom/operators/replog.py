@@ -6,11 +6,12 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from keyloom.operators.lsm import newest_wins
+from keyloom.operators.running import carried, in_ranges
 
 MAX_SESSIONS = 4096
 
@@ -49,15 +50,15 @@ def apply_at_most_once(log: DataFrame, max_sessions: int = MAX_SESSIONS) -> Data
     A client's sequence number counts once: a smaller one is stale, an equal one a duplicate if it is the same command
     and a conflict if not. Commands are compared themselves, not by a digest. Empty barrier commands (null op) are
     skipped. Sessions of more than ``max_sessions`` clients are dropped, the one that applied or retried longest ago first,
-    and a client without one is new. Windows per client and per (client, seq) do it without a fold while no session
+    and a client without one is new. Extremes carried along each client's commands do it without a fold while no session
     is evicted, which is counted first; else the log is folded in order.
     """
     commands = log.where(F.col("op").isNotNull())
     if evicts(commands, max_sessions).first().evicts:
         return _folded(commands, max_sessions)
-    before = Window.partitionBy("client").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    first = F.first(_command()).over(Window.partitionBy("client", "seq").orderBy("idx"))
-    marked = commands.withColumn("__mx", F.max("seq").over(before)).withColumn("__first", first)
+    seen = carried(in_ranges(commands, ["client"], ["idx"]), ["client"], ["idx"], most={"__mx": F.col("seq")})
+    first = commands.groupBy("client", "seq").agg(F.min_by(_command(), "idx").alias("__first"))
+    marked = seen.join(first.withColumnsRenamed({"client": "__c", "seq": "__s"}), F.col("client").eqNullSafe(F.col("__c")) & F.col("seq").eqNullSafe(F.col("__s"))).drop("__p", "__c", "__s")
     same = F.col("__first").eqNullSafe(_command())
     outcome = F.when(F.col("__mx").isNull() | (F.col("seq") > F.col("__mx")), "APPLIED").when(F.col("seq") < F.col("__mx"), "STALE").when(same, "DUPLICATE").otherwise("CONFLICT")
     return marked.withColumn("outcome", outcome).drop("__mx", "__first")
@@ -76,8 +77,7 @@ def state_after(log: DataFrame, max_sessions: int = MAX_SESSIONS) -> DataFrame:
 def command_results(log: DataFrame, max_sessions: int = MAX_SESSIONS) -> DataFrame:
     """(idx, op, result, existed) of applied commands: a put gives its value, a delete what was there; an empty value counts as not existing."""
     rows = applied(log, max_sessions).withColumn("value", F.when(F.col("op") == "PUT", F.col("value")))
-    prev = F.lag("value").over(Window.partitionBy("key").orderBy("idx"))
-    out = rows.withColumn("prev", prev)
+    out = carried(in_ranges(rows, ["key"], ["idx"]), ["key"], ["idx"], most={"last": F.struct("idx", "value")}).withColumn("prev", F.col("last.value"))
     return out.select("idx", "op", F.when(F.col("op") == "PUT", F.col("value")).otherwise(F.coalesce("prev", F.lit(""))).alias("result"), F.when(F.col("op") == "DELETE", F.coalesce(F.length("prev") > 0, F.lit(False))).alias("existed"))
 
 
@@ -108,22 +108,36 @@ def request_outcomes(requests: DataFrame, log: DataFrame, max_sessions: int = MA
     return requests.join(last, "client", "left").select("client", "seq", "op", "key", "value", status.alias("status"))
 
 
-def replay(records: DataFrame) -> DataFrame:
-    """Entries (idx, term, command) that survive a replay of ``records`` (offset, kind, term, idx, command).
+def replay(records: DataFrame, node: str | None = None) -> DataFrame:
+    """Entries (idx, term, command) that survive a replay of ``records`` (offset, kind, term, idx, command), of each ``node`` by itself.
 
     ENTRY writes a slot and cuts all after it, TRUNCATE cuts from idx on, SNAPSHOT covers all up to idx; entries at or
     below the snapshot in effect are nothing. So an entry stands iff no later ENTRY or TRUNCATE in effect has an idx up to
-    its own, and no later SNAPSHOT covers it: suffix minima and maxima over the log.
+    its own, and no later SNAPSHOT covers it: suffix minima and maxima over the log, carried over ranges of a long one.
     """
-    up_to = Window.orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)  # one node's log is one file
-    # what comes later, as what came before in the reverse order: frames that end at the last row are summed anew for every row
-    later = Window.orderBy(F.col("offset").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    base = F.coalesce(F.max(F.when(F.col("kind") == "SNAPSHOT", F.col("idx"))).over(up_to), F.lit(0))
-    live = records.withColumn("base", base).where((F.col("kind") != "ENTRY") | (F.col("idx") > F.col("base")))
-    cut = F.min(F.when(F.col("kind").isin("ENTRY", "TRUNCATE"), F.col("idx"))).over(later)
-    covered = F.max(F.when(F.col("kind") == "SNAPSHOT", F.col("idx"))).over(later)
-    kept = live.withColumn("cut", cut).withColumn("covered", covered).where("kind = 'ENTRY'")
-    return kept.where((F.col("cut").isNull() | (F.col("cut") > F.col("idx"))) & (F.col("covered").isNull() | (F.col("covered") < F.col("idx")))).select("idx", "term", "command")
+    by = [node] if node else []
+    covers = F.when(F.col("kind") == "SNAPSHOT", F.col("idx"))
+    based = carried(in_ranges(records, by, ["offset"]), by, ["offset"], most={"base": covers})
+    live = based.where((F.col("kind") != "ENTRY") | (F.col("idx") > F.coalesce("base", F.lit(0))))
+    later = carried(live, by, ["offset"], least={"cut": F.when(F.col("kind").isin("ENTRY", "TRUNCATE"), F.col("idx"))}, most={"covered": covers}, reverse=True)
+    kept = later.where("kind = 'ENTRY' AND (cut IS NULL OR cut > idx) AND (covered IS NULL OR covered < idx)")
+    return kept.select(*by, "idx", "term", "command")
+
+
+def _followed(records: DataFrame, node: str | None) -> DataFrame:
+    """Surviving entries with ``prev``: the entry before, or the snapshot's index."""
+    by = [node] if node else []
+    before = carried(in_ranges(replay(records, node), by, ["idx"]), by, ["idx"], most={"prev": F.col("idx")}).drop("__p")
+    base = records.groupBy(*by).agg(F.coalesce(F.max_by("idx", F.when(F.col("kind") == "SNAPSHOT", F.col("offset"))), F.lit(0)).alias("__base"))
+    joined = before.join(base, node) if node else before.withColumn("__base", base.scalar())
+    return joined.withColumn("prev", F.coalesce("prev", "__base")).drop("__base")
+
+
+def replay_checked(records: DataFrame, node: str | None = None) -> DataFrame:
+    """:func:`replay` that fails the job where an entry doesn't follow on the one before or on the snapshot."""
+    gap = F.raise_error(F.concat(F.lit("gap in the log between "), F.col("prev"), F.lit(" and "), F.col("idx"))).cast("bigint")
+    rows = _followed(records, node)
+    return rows.withColumn("idx", F.when(F.col("idx") == F.col("prev") + 1, F.col("idx")).otherwise(gap)).drop("prev")
 
 
 def replay_state(records: DataFrame) -> DataFrame:
@@ -136,11 +150,9 @@ def replay_state(records: DataFrame) -> DataFrame:
     )
 
 
-def replay_gaps(records: DataFrame) -> DataFrame:
+def replay_gaps(records: DataFrame, node: str | None = None) -> DataFrame:
     """Surviving entries that don't follow on the one before or on the snapshot: a replay of them is an error."""
-    base = replay_state(records).select("base_idx").scalar()
-    prev = F.lag("idx").over(Window.orderBy("idx"))
-    return replay(records).withColumn("prev", F.coalesce(prev, base)).where(F.col("idx") != F.col("prev") + 1).select("idx", "prev")
+    return _followed(records, node).where(F.col("idx") != F.col("prev") + 1).select(*([node] if node else []), "idx", "prev")
 
 
 def merge_entries(local: DataFrame, sent: DataFrame, base: int = 0) -> DataFrame:

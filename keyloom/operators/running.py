@@ -19,3 +19,30 @@ def running_total(df: DataFrame, order: list[str], value: Column, name: str) ->
     before = totals.select("__p", (F.sum("__t").over(Window.orderBy("__p")) - F.col("__t")).alias("__b"))
     within = F.sum("__v").over(Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return ranged.withColumn(name, within).join(before, "__p").withColumn(name, F.col(name) + F.col("__b")).drop("__p", "__v", "__b")
+
+
+def in_ranges(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``df`` cut into ranges of ``by`` and ``order`` and staged, with ``__p`` for the range; for :func:`carried`."""
+    return stage(df.repartitionByRange(*by, *order).withColumn("__p", F.spark_partition_id()), "ranged")
+
+
+def carried(ranged: DataFrame, by: list[str], order: list[str], least: dict[str, Column] | None = None, most: dict[str, Column] | None = None, total: dict[str, Column] | None = None, reverse: bool = False) -> DataFrame:
+    """``ranged`` with the least, the greatest or the sum of an expression over the rows before each row of its group ``by``, that
+    row left out; null of no rows, a sum 0. ``order`` must be unique in a group.
+
+    ``reverse`` looks at the rows after it instead. A group of any size is worked on range by range: each is one window, and the ranges'
+    own extremes - a row a group and range - are carried on to the ranges that follow.
+    """
+    towards = (lambda c: F.col(c).desc()) if reverse else F.col
+    plus = lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
+    named = [(n, c, f, join) for of, f, join in ((least, F.min, F.least), (most, F.max, F.greatest), (total, F.sum, plus)) for n, c in (of or {}).items()]
+    totals = ranged.groupBy(*by, "__p").agg(*[f(c).alias(n) for n, c, f, _ in named])
+    past = Window.partitionBy(*by).orderBy(towards("__p")).rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*[F.col(b).alias(f"__{b}") for b in by], F.col("__p").alias("__q"), *[f(n).over(past).alias(f"__{n}") for n, _, f, _ in named])
+    within = Window.partitionBy(*by, "__p").orderBy(*map(towards, order)).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.select("*", *[f(c).over(within).alias(n) for n, c, f, _ in named])
+    same = F.col("__p") == F.col("__q")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"__{b}"))
+    # both are null before anything came; least and greatest skip nulls
+    return out.join(before, same).select(*ranged.columns, *[join(F.col(n), F.col(f"__{n}")).alias(n) for n, _, _, join in named])

@@ -48,8 +48,20 @@ def rl5_state(spark: SparkSession, sf: str) -> DataFrame:
     return replog.replay_state(wal_records(spark, sf))
 
 
+def rl5_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, as an error if there were a gap."""
+    return replog.replay_checked(wal_records(spark, sf))
+
+
 def rl5_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    return replog.replay_gaps(wal_records(spark, sf)).agg(F.count(F.lit(1)).alias("gaps"))
+    """Where entries don't follow each other if the log lost some records."""
+    return replog.replay_gaps(wal_records(spark, sf).where("NOT (kind = 'ENTRY' AND offset % 50 = 7)"))
+
+
+def rl5_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Logs of three nodes, each without some of the records, replayed by themselves."""
+    nodes = wal_records(spark, sf).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(2)))).where("offset % 7 <> i")
+    return replog.replay(nodes.withColumn("node", F.concat(F.lit("n"), "i")), "node")
 
 
 def _two_logs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -286,7 +298,7 @@ def ex1_outages(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (rl1_at_most_once, rl2_state, rl3_results, rl4_sessions, rl5_replay, rl5_state, rl5_gaps, rl6_merge, rl7_check, rl8_commit, rl9_votes, rl10_compaction, rl11_replication, rl12_install, rl13_readiness, rl14_barriers,
+    for f in (rl1_at_most_once, rl2_state, rl3_results, rl4_sessions, rl5_replay, rl5_state, rl5_checked, rl5_gaps, rl5_nodes, rl6_merge, rl7_check, rl8_commit, rl9_votes, rl10_compaction, rl11_replication, rl12_install, rl13_readiness, rl14_barriers,
               rl15_outcomes, sc13_read_as_of, sk7_snapshot, oc1_set, oc2_oc3_requests, oc4_current, oc4_cleared, oc4_size, mx1_operations, mx2_latency, mx3_report, mx4_repairs, mx5_hedges, sk8_exposition, sk8_quantiles, sk8_members, sc15_parse, sk9_report, wg1_mixes, wg1_pick,
               wg2_wg5_load, wg3_run, wg4_zeta, wg6_replay, fp1_drops, fp2_delivery, fp3_reachable, ex1_outages)
 }
@@ -298,6 +310,10 @@ _LWW = "SELECT key, m.v AS value, m.i AS version FROM (SELECT key, max(struct_pa
 _WAL = """WITH t AS (SELECT event_id AS "offset", CASE WHEN event_id % 100 = 99 THEN 'TERM' WHEN event_id % 50 = 49 THEN 'TRUNCATE' WHEN event_id % 100 = 59 THEN 'SNAPSHOT' WHEN event_id % 100 = 19 THEN 'VOTE' ELSE 'ENTRY' END AS kind,
     event_id // 100 AS t, event_id - 2 * (event_id // 10) + 1 AS i FROM events),
   wal AS (SELECT "offset" AS o, kind, t AS term, CASE kind WHEN 'ENTRY' THEN i WHEN 'TRUNCATE' THEN i - 1 WHEN 'SNAPSHOT' THEN i - 20 END AS idx FROM t)"""
+_REPLAYED = """, base AS (SELECT *, coalesce(max(CASE WHEN kind = 'SNAPSHOT' THEN idx END) OVER ({by} ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM {wal}),
+      live AS (SELECT *, min(CASE WHEN kind IN ('ENTRY', 'TRUNCATE') THEN idx END) OVER w AS cut, max(CASE WHEN kind = 'SNAPSHOT' THEN idx END) OVER w AS covered FROM base WHERE kind <> 'ENTRY' OR idx > base
+        WINDOW w AS ({by} ORDER BY o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+      r AS (SELECT *, 'c' || o AS command FROM live WHERE kind = 'ENTRY' AND (cut IS NULL OR cut > idx) AND (covered IS NULL OR covered < idx))"""
 _SPLIT = """WITH n AS (SELECT max(event_id) + 1 AS n FROM events),
   l AS (SELECT event_id + 1 AS idx, (event_id + 1) // 100 AS term, 'a' || (event_id + 1) AS command FROM events, n WHERE (event_id + 1) * 4 <= n * 3),
   s AS (SELECT event_id + 1 AS idx, (event_id + 1) // 100 + CASE WHEN (event_id + 1) * 2 > n THEN 1 ELSE 0 END AS term, 'b' || (event_id + 1) AS command FROM events, n WHERE (event_id + 1) * 4 > n)"""
@@ -353,7 +369,10 @@ ORACLES = {
       SELECT idx, term, 'c' || o AS command FROM live WHERE kind = 'ENTRY' AND (cut IS NULL OR cut > idx) AND (covered IS NULL OR covered < idx)""",
     "rl5_state": _WAL + """ SELECT (SELECT coalesce(max(term), 0) FROM wal WHERE kind = 'TERM') AS term, (SELECT 'n' || (max(term) % 5) FROM wal WHERE kind IN ('TERM', 'VOTE')) AS voted_for,
       coalesce(max(idx), 0) AS base_idx, coalesce(max(term), 0) AS base_term FROM wal WHERE kind = 'SNAPSHOT'""",
-    "rl5_gaps": "SELECT 0 AS gaps",
+    "rl5_checked": _WAL + _REPLAYED.format(wal="wal", by="") + " SELECT idx, term, command FROM r",
+    "rl5_gaps": _WAL + _REPLAYED.format(wal="(SELECT * FROM wal WHERE NOT (kind = 'ENTRY' AND o % 50 = 7))", by="") + """,
+      g AS (SELECT idx, coalesce(lag(idx) OVER (ORDER BY idx), (SELECT idx FROM wal WHERE kind = 'SNAPSHOT' ORDER BY o DESC LIMIT 1), 0) AS prev FROM r) SELECT * FROM g WHERE idx <> prev + 1""",
+    "rl5_nodes": _WAL + _REPLAYED.format(wal="(SELECT *, 'n' || i AS node FROM wal, range(3) x(i) WHERE o % 7 <> i)", by="PARTITION BY node") + " SELECT node, idx, term, command FROM r",
     "rl6_merge": _SPLIT + """, c AS (SELECT min(s.idx) AS m FROM s LEFT JOIN l ON s.idx = l.idx WHERE s.term IS DISTINCT FROM l.term)
       SELECT l.* FROM l, c WHERE m IS NULL OR idx < m UNION ALL SELECT s.* FROM s, c WHERE idx >= m""",
     "rl7_check": _SPLIT + """, r AS (SELECT idx AS req, idx - 1 AS prev_idx, term AS prev_term FROM s), j AS (SELECT r.*, prev_idx = 0 OR coalesce(l.term = prev_term, false) AS matches FROM r LEFT JOIN l ON l.idx = prev_idx)

@@ -22,22 +22,25 @@ def mg1_live(spark: SparkSession, sf: str) -> DataFrame:
     return lsm.newest_wins(derive.mutations(spark, sf), drop_tombstones=True)
 
 
+def _runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The runs of the store, flushed and read from their files."""
+    return lsm.flush_runs(derive.mutations(spark, sf), staging_path(spark, "runs"))
+
+
 def sc1_point_get(spark: SparkSession, sf: str) -> DataFrame:
-    return lsm.point_get(derive.mutations(spark, sf), "user0000000007")
+    return lsm.point_get(_runs(spark, sf), "user0000000007")
 
 
 def sc2_range_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return lsm.range_scan(derive.mutations(spark, sf), "user0000000020", "user0000000090")
+    return lsm.range_scan(_runs(spark, sf), "user0000000020", "user0000000090")
 
 
 def sc3_run_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    m = derive.mutations(spark, sf)
-    return m.where("run_id = 2").where(F.col("key") == "user0000000007").select("key", "value", "seq")
+    return lsm.run_lookup(_runs(spark, sf), 2, "user0000000007")
 
 
 def sc4_run_scan(spark: SparkSession, sf: str) -> DataFrame:
-    m = derive.mutations(spark, sf)
-    return lsm.run_scan(m.where("run_id = 1"), "user0000000020", "user0000000040").select("key", "value", "seq")
+    return lsm.run_scan(_runs(spark, sf).where("run_id = 1"), "user0000000020", "user0000000040").select("key", "value", "seq")
 
 
 def sc5_run_iterator(spark: SparkSession, sf: str) -> DataFrame:
@@ -234,8 +237,8 @@ ORACLES = {
     "mg1_live": with_views("mutations", body=f"SELECT * FROM ({_NEWEST.format(t='mutations')}) WHERE value IS NOT NULL"),
     "sc1_point_get": with_views("mutations", body=f"SELECT * FROM ({_NEWEST.format(t='mutations')}) WHERE value IS NOT NULL AND key = 'user0000000007'"),
     "sc2_range_scan": with_views("mutations", body=f"SELECT * FROM ({_NEWEST.format(t='mutations')}) WHERE value IS NOT NULL AND key >= 'user0000000020' AND key < 'user0000000090'"),
-    "sc3_run_lookup": with_views("mutations", body="SELECT key, value, seq FROM mutations WHERE run_id = 2 AND key = 'user0000000007'"),
-    "sc4_run_scan": with_views("mutations", body="SELECT key, value, seq FROM mutations WHERE run_id = 1 AND key >= 'user0000000020' AND key < 'user0000000040'"),
+    "sc3_run_lookup": with_views("mutations", body=_NEWEST.format(t="(SELECT * FROM mutations WHERE run_id = 2 AND key = 'user0000000007')")),
+    "sc4_run_scan": with_views("mutations", body=_NEWEST.format(t="(SELECT * FROM mutations WHERE run_id = 1 AND key >= 'user0000000020' AND key < 'user0000000040')")),
     "sc5_run_iterator": with_views("mutations", body=_NEWEST.format(t="(SELECT * FROM mutations WHERE run_id = 3)")),
     "sc10_limited_scan": with_views("mutations", body=f"SELECT * FROM ({_NEWEST.format(t='mutations')}) WHERE value IS NOT NULL AND key >= 'user0000000010' ORDER BY key LIMIT 25"),
     "sk1_assign_sequence": "SELECT event_id, 100 + row_number() OVER (ORDER BY event_id) AS seq FROM events",
