@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.operators.running import carried, in_ranges
+from keyloom.operators.running import laid
 
 MAX_OPERATIONS = 64
 
@@ -22,21 +22,18 @@ def _successful(history: DataFrame, kind: str) -> DataFrame:
     return history.where((F.col("type") == kind) & (F.col("result") == "SUCCESS"))
 
 
-def _last_before(reads: DataFrame, writes: DataFrame, *within: str) -> DataFrame:
-    """Each read with the write that ended last by its start: (idx, key, value, w).
+def _last_before(ops: DataFrame, *within: str) -> DataFrame:
+    """Each read of ``ops`` with the write that ended last by its start: (idx, key, value, w).
 
     In place of an as-of join, writes are placed at their end, reads at their start, and the latest write
     before (or at) a read is carried forward, range by range for a long history. Of writes that end together the first recorded counts.
     """
     group = ["key", *within]
-    write = F.struct(F.col("end_ms").alias("e"), (-F.col("idx")).alias("i"), F.col("value").alias("v"))
-    none = F.lit(None).cast("struct<e:bigint,i:bigint,v:string>")
-    points = writes.select(*group, F.col("end_ms").alias("at"), F.lit(0).alias("kind"), (-F.col("idx")).alias("tie"), "idx", "value", write.alias("own")).unionByName(
-        reads.select(*group, F.col("start_ms").alias("at"), F.lit(1).alias("kind"), F.lit(0).cast("bigint").alias("tie"), "idx", "value", none.alias("own"))
-    )
+    read = F.col("type") == "READ"
+    own = F.when(~read, F.struct(F.col("end_ms").alias("e"), (-F.col("idx")).alias("i"), F.col("value").alias("v")))
+    points = ops.select(*group, F.when(read, F.col("start_ms")).otherwise(F.col("end_ms")).alias("at"), read.alias("kind"), F.when(read, F.col("idx")).otherwise(-F.col("idx")).alias("tie"), "idx", "value", own.alias("own"))
     # the latest by this order is also the greatest
-    order = ["at", "kind", "tie", "idx"]
-    return carried(in_ranges(points, group, order), group, order, most={"w": F.col("own")}).where("kind = 1").select("idx", "key", "value", "w")
+    return laid(points, group, ["at", "kind", "tie"]).carried(most={"w": F.col("own")}).rows().where("kind").select("idx", "key", "value", "w")
 
 
 def _as_of(history: DataFrame, own_session: bool) -> DataFrame:
@@ -46,15 +43,15 @@ def _as_of(history: DataFrame, own_session: bool) -> DataFrame:
     are made for it: operations are halved by recording order again and again, and at each of the log2(n) levels the
     reads of a right half look back at the writes of its left half, as above.
     """
-    reads, writes = _successful(history, "READ"), _successful(history, "WRITE")
+    done = history.where("result = 'SUCCESS'").select("idx", "key", "type", "value", "start_ms", "end_ms")
     if not own_session:
-        return _last_before(reads, writes)
-    both = in_ranges(reads.unionByName(writes), ["key"], ["idx"])
-    sizes = both.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("key", "__k")
-    ranked = carried(both, ["key"], ["idx"], total={"r": F.lit(1)}).drop("__p").join(sizes, F.col("key").eqNullSafe(F.col("__k"))).drop("__k")
+        return _last_before(done)
+    ranked = laid(done, ["key"], ["idx"]).carried(total={"r": F.lit(1)}).rows()
+    sizes = ranked.groupBy("key").agg((F.max("r") + 1).alias("n")).withColumnRenamed("key", "__k")
+    ranked = ranked.join(sizes, F.col("key").eqNullSafe(F.col("__k"))).drop("__k")
     levels = F.sequence(F.lit(0), F.length(F.bin(F.col("n") - 1)) - 1)
     at = ranked.withColumn("level", F.explode(levels)).withColumn("block", F.expr("shiftright(r, level + 1)")).withColumn("right", F.expr("shiftright(r, level) & 1"))
-    found = _last_before(at.where("type = 'READ' AND right = 1"), at.where("type = 'WRITE' AND right = 0"), "level", "block")
+    found = _last_before(at.where("(type = 'READ') = (right = 1)"), "level", "block")
     return found.groupBy("idx", "key", "value").agg(F.max("w").alias("w"))
 
 
@@ -77,7 +74,7 @@ def monotonic_reads(history: DataFrame) -> DataFrame:
     """Reads of a value first written before one that an earlier read has seen; values never written are skipped."""
     first = _successful(history, "WRITE").groupBy("key", "value").agg(F.min("idx").alias("rank"))
     ranked = _successful(history, "READ").join(first.withColumnRenamed("value", "wv").withColumnRenamed("key", "wk"), (F.col("key") == F.col("wk")) & F.col("value").eqNullSafe(F.col("wv")))
-    return carried(in_ranges(ranked, ["key"], ["idx"]), ["key"], ["idx"], most={"best": F.struct("rank", "value")}).where(F.col("rank") < F.col("best.rank")).select(
+    return laid(ranked, ["key"], ["idx"]).carried(most={"best": F.struct("rank", "value")}).rows().where(F.col("rank") < F.col("best.rank")).select(
         F.lit("MONOTONIC_READ").alias("type"), "key", "idx", F.col("best.value").alias("expected"), F.col("value").alias("observed")
     )
 

@@ -13,14 +13,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.operators.running import carried, in_ranges
+from keyloom.operators.running import laid
 
 RESULT = "key string, idx bigint, op string, success boolean, version bigint, value string"
 
 
 def set_versions(writes: DataFrame) -> DataFrame:
     """Versions of unconditional writes: (key, idx, value, version)."""
-    before = carried(in_ranges(writes.select("key", "idx", "value"), ["key"], ["idx"]), ["key"], ["idx"], total={"n": F.lit(1)})
+    before = laid(writes.select("key", "idx", "value"), ["key"], ["idx"]).carried(total={"n": F.lit(1)}).rows()
     return before.select("key", "idx", "value", (F.col("n") + 1).cast("bigint").alias("version"))
 
 

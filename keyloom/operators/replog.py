@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from keyloom.operators.lsm import newest_wins
-from keyloom.operators.running import carried, in_ranges
+from keyloom.operators.running import laid
 
 MAX_SESSIONS = 4096
 
@@ -56,9 +56,9 @@ def apply_at_most_once(log: DataFrame, max_sessions: int = MAX_SESSIONS) -> Data
     commands = log.where(F.col("op").isNotNull())
     if evicts(commands, max_sessions).first().evicts:
         return _folded(commands, max_sessions)
-    seen = carried(in_ranges(commands, ["client"], ["idx"]), ["client"], ["idx"], most={"__mx": F.col("seq")})
+    seen = laid(commands, ["client"], ["idx"]).carried(most={"__mx": F.col("seq")}).rows()
     first = commands.groupBy("client", "seq").agg(F.min_by(_command(), "idx").alias("__first"))
-    marked = seen.join(first.withColumnsRenamed({"client": "__c", "seq": "__s"}), F.col("client").eqNullSafe(F.col("__c")) & F.col("seq").eqNullSafe(F.col("__s"))).drop("__p", "__c", "__s")
+    marked = seen.join(first.withColumnsRenamed({"client": "__c", "seq": "__s"}), F.col("client").eqNullSafe(F.col("__c")) & F.col("seq").eqNullSafe(F.col("__s"))).drop("__c", "__s")
     same = F.col("__first").eqNullSafe(_command())
     outcome = F.when(F.col("__mx").isNull() | (F.col("seq") > F.col("__mx")), "APPLIED").when(F.col("seq") < F.col("__mx"), "STALE").when(same, "DUPLICATE").otherwise("CONFLICT")
     return marked.withColumn("outcome", outcome).drop("__mx", "__first")
@@ -77,7 +77,7 @@ def state_after(log: DataFrame, max_sessions: int = MAX_SESSIONS) -> DataFrame:
 def command_results(log: DataFrame, max_sessions: int = MAX_SESSIONS) -> DataFrame:
     """(idx, op, result, existed) of applied commands: a put gives its value, a delete what was there; an empty value counts as not existing."""
     rows = applied(log, max_sessions).withColumn("value", F.when(F.col("op") == "PUT", F.col("value")))
-    out = carried(in_ranges(rows, ["key"], ["idx"]), ["key"], ["idx"], most={"last": F.struct("idx", "value")}).withColumn("prev", F.col("last.value"))
+    out = laid(rows, ["key"], ["idx"]).carried(most={"last": F.struct("idx", "value")}).rows().withColumn("prev", F.col("last.value"))
     return out.select("idx", "op", F.when(F.col("op") == "PUT", F.col("value")).otherwise(F.coalesce("prev", F.lit(""))).alias("result"), F.when(F.col("op") == "DELETE", F.coalesce(F.length("prev") > 0, F.lit(False))).alias("existed"))
 
 
@@ -117,17 +117,17 @@ def replay(records: DataFrame, node: str | None = None) -> DataFrame:
     """
     by = [node] if node else []
     covers = F.when(F.col("kind") == "SNAPSHOT", F.col("idx"))
-    based = carried(in_ranges(records, by, ["offset"]), by, ["offset"], most={"base": covers})
-    live = based.where((F.col("kind") != "ENTRY") | (F.col("idx") > F.coalesce("base", F.lit(0))))
-    later = carried(live, by, ["offset"], least={"cut": F.when(F.col("kind").isin("ENTRY", "TRUNCATE"), F.col("idx"))}, most={"covered": covers}, reverse=True)
-    kept = later.where("kind = 'ENTRY' AND (cut IS NULL OR cut > idx) AND (covered IS NULL OR covered < idx)")
+    live = (F.col("kind") != "ENTRY") | (F.col("idx") > F.coalesce("base", F.lit(0)))
+    cuts = F.when(F.col("kind").isin("ENTRY", "TRUNCATE"), F.col("idx"))
+    later = laid(records, by, ["offset"]).carried(most={"base": covers}).carried(least={"cut": cuts}, most={"covered": covers}, reverse=True, of=lambda df: df.where(live))
+    kept = later.rows().where("kind = 'ENTRY' AND (cut IS NULL OR cut > idx) AND (covered IS NULL OR covered < idx)")
     return kept.select(*by, "idx", "term", "command")
 
 
 def _followed(records: DataFrame, node: str | None) -> DataFrame:
     """Surviving entries with ``prev``: the entry before, or the snapshot's index."""
     by = [node] if node else []
-    before = carried(in_ranges(replay(records, node), by, ["idx"]), by, ["idx"], most={"prev": F.col("idx")}).drop("__p")
+    before = laid(replay(records, node), by, ["idx"]).carried(most={"prev": F.col("idx")}).rows()
     base = records.groupBy(*by).agg(F.coalesce(F.max_by("idx", F.when(F.col("kind") == "SNAPSHOT", F.col("offset"))), F.lit(0)).alias("__base"))
     joined = before.join(base, node) if node else before.withColumn("__base", base.scalar())
     return joined.withColumn("prev", F.coalesce("prev", "__base")).drop("__base")

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_STAGED: list[str] = []
 
 
 def local_session(cores: str | int = "*", app: str = "keyloom", **conf: str) -> SparkSession:
@@ -55,6 +56,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = staging_path(spark, name)
+    _STAGED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -71,6 +73,14 @@ def release(spark: SparkSession, path: str) -> bool:
     return bool(fs.delete(p, True))
 
 
+def release_staged(spark: SparkSession) -> int:
+    """Delete everything staged so far in this process, once the results that read it are written: how many tables there were."""
+    paths, _STAGED[:] = list(_STAGED), []
+    for path in paths:
+        release(spark, path)
+    return len(paths)
+
+
 class Commits:
     """The committed batches of a folder: a batch counts once its marker is there, and markers are written last.
 
