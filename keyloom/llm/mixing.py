@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from keyloom.session import stage
 
 MAX_SOURCES = 10_000
+BLOCK_TOKENS, SHARD_TOKENS = 1024, 8_000_000
 
 
 def canonical_source(source: Column) -> Column:
@@ -66,7 +67,7 @@ class Mix:
     shares: DataFrame  #: per target: what was asked and what was reached
 
 
-def mix(docs: DataFrame, targets: DataFrame, *, total_tokens: int | None = None, block_tokens: int = 1024, shard_tokens: int = 8_000_000, seed: int = 17) -> Mix:
+def mix(docs: DataFrame, targets: DataFrame, *, total_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, seed: int = 17) -> Mix:
     """Mix ``docs`` (doc_id, source, n_tokens) by ``targets`` (source, target_share, max_repeats).
 
     total_tokens: the size wanted, by default the largest at which no source that has documents runs short. A document is

@@ -93,15 +93,18 @@ def p7_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the mix keeps its promises, per target: notebooks taken of another source, listed twice or too often used, and whether
-    the share reached is within 1 % of all tokens of the target, scaled to the sources that have documents."""
+    its tokens are those of its blocks. As notebooks are taken whole, each shard may be off by half the longest and by a block."""
     docs, m = table(spark, sf_dir, "documents"), _mix(spark, sf_dir)
     taken = m.rows.join(docs.select("doc_id", mixing.canonical_source(F.col("source")).alias("c")), "doc_id").join(m.shares.select("source", "max_repeats"), "source")
-    per = taken.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("copies") > F.col("max_repeats")).alias("over"), F.max(F.col("c") != mixing.canonical_source(F.col("source"))).alias("foreign"))
-    bad = per.groupBy("source").agg(F.count_if(F.col("n") > 1).alias("twice"), F.count_if("over").alias("over_repeated"), F.count_if("foreign").alias("foreign"))
-    has = F.when(F.col("available_tokens") * F.col("max_repeats") > 0, F.col("target_share")).otherwise(0.0)
-    scaled = m.shares.withColumn("wanted", has / F.sum(has).over(Window.partitionBy()))  # a row per target
+    per = taken.groupBy("source", "doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.col("copies") > F.col("max_repeats")).alias("over"), F.max(F.col("c") != mixing.canonical_source(F.col("source"))).alias("foreign"), F.max("n_tokens").alias("longest")
+    )
+    bad = per.groupBy("source").agg(F.count_if(F.col("n") > 1).alias("twice"), F.count_if("over").alias("over_repeated"), F.count_if("foreign").alias("foreign"), F.max("longest").alias("longest"))
+    shards = F.ceil(F.sum("available_tokens").over(Window.partitionBy()) / mixing.SHARD_TOKENS)  # a row per target
+    off = F.abs(F.col("tokens") - F.col("quota_blocks") * mixing.BLOCK_TOKENS)
+    kept = off <= F.col("shards") * (F.coalesce(F.col("longest") / 2, F.lit(0)) + mixing.BLOCK_TOKENS)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
-    return scaled.join(bad, "source", "left").select("source", *map(zero, ("twice", "over_repeated", "foreign")), (F.abs(F.col("actual_share") - F.col("wanted")) < 0.01).alias("share_reached"))
+    return m.shares.withColumn("shards", shards).join(bad, "source", "left").select("source", *map(zero, ("twice", "over_repeated", "foreign")), kept.alias("quota_kept"))
 
 
 def _labelled(spark: SparkSession, sf_dir: str, stretches: bool) -> DataFrame:
@@ -164,7 +167,7 @@ WHERE o.key IS NOT NULL OR p.request_id > f.first_id
     "p6_audit": """
 SELECT container_kind, (SELECT count(*) FROM documents) AS documents, 0 AS incomplete, 0 AS split, 0 AS overfull, 0 AS overlapping FROM containers
 """,
-    "p7_audit": "SELECT source, 0 AS twice, 0 AS over_repeated, 0 AS foreign, true AS share_reached FROM mix_targets",
+    "p7_audit": "SELECT source, 0 AS twice, 0 AS over_repeated, 0 AS foreign, true AS quota_kept FROM mix_targets",
     "p7_quotas": r"""
 WITH t AS (SELECT source, regexp_replace(lower(source), '[\s_\-]+', '', 'g') AS c, target_share AS share, max_repeats AS most FROM mix_targets),
      d AS (SELECT regexp_replace(lower(source), '[\s_\-]+', '', 'g') AS c, sum(n_chars) AS n FROM documents WHERE n_chars > 0 GROUP BY 1),
