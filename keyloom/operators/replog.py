@@ -173,7 +173,7 @@ def append_check(local: DataFrame, requests: DataFrame) -> DataFrame:
     return j.select("req", "prev_idx", "prev_term", ok.alias("matches"), F.when(~ok, F.least(F.col("prev_idx"), last + 1)).alias("conflict_idx"))
 
 
-def commit_index(matches: DataFrame, log: DataFrame, term: int, current: int = 0) -> DataFrame:
+def commit_index(matches: DataFrame, log: DataFrame, term: int | Column, current: int = 0) -> DataFrame:
     """(commit_idx): the highest index of the current term that a majority of ``matches`` (node, match_idx; the leader among them) hold."""
     held = matches.agg(F.sort_array(F.collect_list("match_idx"), asc=False).alias("m"))
     majority = held.select(F.expr("m[size(m) div 2]").alias("x")).scalar()
@@ -215,7 +215,7 @@ def install_snapshot(offers: DataFrame) -> DataFrame:
     return offers.withColumn("installed", (F.col("snapshot_idx") > F.col("base_idx")) & (F.col("snapshot_idx") > F.col("commit_idx")))
 
 
-def readiness(members: DataFrame, heartbeats: DataFrame, now: int, stale_ticks: int) -> DataFrame:
+def readiness(members: DataFrame, heartbeats: DataFrame, now: int | Column, stale_ticks: int) -> DataFrame:
     """(node, ready) of members (node, role, leader) by the newest of their heartbeats (node, peer, tick): a leader needs
     a majority of members heard within ``stale_ticks``, itself among them; a follower its leader."""
     size = members.select(F.count(F.lit(1)).alias("n")).scalar()

@@ -87,7 +87,7 @@ def rl8_commit(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     matches = e.groupBy((F.col("event_id") % 5).alias("node")).agg((F.max("event_id") - (F.col("node") * 37)).alias("match_idx"))
     log = e.select((F.col("event_id") + 1).alias("idx"), F.expr("event_id div 1000").alias("term"))
-    top = e.select(F.expr("max(event_id) div 1000").alias("t")).first().t
+    top = e.select(F.expr("max(event_id) div 1000").alias("t")).scalar()
     return replog.commit_index(matches, log, top)
 
 
@@ -123,7 +123,7 @@ def rl12_install(spark: SparkSession, sf: str) -> DataFrame:
 def rl13_readiness(spark: SparkSession, sf: str) -> DataFrame:
     members = spark.range(5).select(F.concat(F.lit("n"), "id").alias("node"), F.when(F.col("id") == 0, "leader").otherwise("follower").alias("role"), F.lit("n0").alias("leader"))
     hb = table(spark, sf, "events").select(F.concat(F.lit("n"), F.col("event_id") % 5).alias("node"), F.concat(F.lit("n"), F.expr("event_id div 5 % 4")).alias("peer"), F.expr("event_id div 10").alias("tick"))
-    return replog.readiness(members, hb.where("NOT (node = 'n3' AND peer = 'n0')"), hb.agg(F.max("tick")).first()[0], 3)
+    return replog.readiness(members, hb.where("NOT (node = 'n3' AND peer = 'n0')"), hb.select(F.max("tick")).scalar(), 3)
 
 
 def rl14_barriers(spark: SparkSession, sf: str) -> DataFrame:
