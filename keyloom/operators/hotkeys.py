@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from keyloom.session import stage
 
-#: A split sends its arrays on and starts anew beyond so many keys or pairs; this bounds a worker's memory.
+#: A split sends its arrays on and starts anew beyond so many keys, pairs or bytes of keys and values; this bounds a worker's memory.
 FLUSH_KEYS = 200_000
+FLUSH_BYTES = 64 << 20
 FLUSH_PAIRS = 1_000_000
 OUT_ROWS = 20_000
 
@@ -54,7 +55,7 @@ class _Accumulators:
         self.o = np.full(1024, _NONE, np.int64)
         self.v: list = []
         self.pairs: list[np.ndarray] = []
-        self.n_pairs = 0
+        self.n_pairs = self.bytes = 0
 
     def fit(self) -> None:
         want = len(self.keys)
@@ -66,7 +67,9 @@ class _Accumulators:
         self.v.extend([None] * (want - len(self.v)))
 
     def add(self, k: pa.Array, c: pa.Array, s: np.ndarray, o: np.ndarray, v: pa.Array) -> None:
+        known = len(self.keys)
         g = _codes(k, self.keys)
+        self.bytes += k.nbytes * (len(self.keys) - known) // max(1, len(k))
         self.fit()
         size = len(self.keys)
         self.n[:size] += np.bincount(g, minlength=size)
@@ -79,6 +82,7 @@ class _Accumulators:
             groups = g[at]
             newer = o[at] > self.o[groups]
             groups, at = groups[newer], at[newer]
+            self.bytes += v.nbytes * len(at) // len(v)
             self.o[groups] = o[at]
             for group, value in zip(groups.tolist(), v.take(pa.array(at)).to_pylist()):
                 self.v[group] = value
@@ -121,7 +125,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if acc.n_pairs > FLUSH_PAIRS:
             acc.compact_pairs()
         # pairs are sorted anew at most once per half a limit of new ones
-        if len(acc.keys) > FLUSH_KEYS or acc.n_pairs > FLUSH_PAIRS // 2:
+        if len(acc.keys) > FLUSH_KEYS or acc.bytes > FLUSH_BYTES or acc.n_pairs > FLUSH_PAIRS // 2:
             yield from acc.rows()
             acc = _Accumulators()
     yield from acc.rows()

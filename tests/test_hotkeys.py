@@ -46,6 +46,7 @@ def test_flush_of_full_arrays_changes_nothing(spark, monkeypatch):
     cols = list(zip(*data))
     batch = lambda lo: pa.RecordBatch.from_arrays([pa.array(cols[0][lo : lo + 500], pa.string()), pa.array(cols[1][lo : lo + 500], pa.string()), pa.array(cols[2][lo : lo + 500], pa.int64()), pa.array(cols[3][lo : lo + 500], pa.int64()), pa.array(cols[4][lo : lo + 500], pa.binary())], names=list("kcsov"))
     monkeypatch.setattr(hotkeys, "FLUSH_KEYS", 20)
+    monkeypatch.setattr(hotkeys, "FLUSH_BYTES", 300)
     monkeypatch.setattr(hotkeys, "FLUSH_PAIRS", 200)
     parts = list(hotkeys._split(batch(lo) for lo in range(0, 5000, 500)))
     whole = pa.Table.from_batches(parts).sort_by([("k", "ascending"), ("c", "ascending")])
