@@ -25,8 +25,8 @@ HASHES = 5
 BITS_PER_KEY = 12
 #: A segment holds at most so many keys (so a filter of 12 MB), and at least so many if there are enough tasks for all cores.
 MOST_KEYS, LEAST_KEYS = 8_000_000, 50_000
-#: A split answers for itself within windows of so many different keys.
-WINDOW_KEYS = 200_000
+#: A split answers for itself within windows of so many different keys, or so many bytes of them.
+WINDOW_KEYS, WINDOW_BYTES = 200_000, 64 << 20
 #: Rows a filter is asked for, and then told, at once.
 STEP = 1024
 #: Equal ranges of ids that errors are reported for.
@@ -45,7 +45,7 @@ def _firsts(archive: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        least, h = np.empty(0, np.int64), np.empty(0, np.int64)
+        least, h, size = np.empty(0, np.int64), np.empty(0, np.int64), 0
         for b in batches:
             if not b.num_rows:
                 continue
@@ -54,6 +54,7 @@ def _firsts(archive: bool):
             words = d.dictionary.to_pylist()
             code = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))[d.indices.to_numpy()]
             grow = len(known) - len(least)
+            size += b.column(1).nbytes * grow // b.num_rows
             least = np.append(least, np.full(grow, np.iinfo(np.int64).max))
             h = np.append(h, np.zeros(grow, np.int64))
             h[code] = b.column(2).to_numpy()
@@ -71,9 +72,9 @@ def _firsts(archive: bool):
                 if extra.any():
                     at = twice[extra]
                     yield rows(ids[at], b.column(1).take(pa.array(at)).to_pylist(), h[code[at]])
-            if len(known) > WINDOW_KEYS:
+            if len(known) > WINDOW_KEYS or size > WINDOW_BYTES:
                 yield rows(least, list(known), h)
-                known, least, h = {}, np.empty(0, np.int64), np.empty(0, np.int64)
+                known, least, h, size = {}, np.empty(0, np.int64), np.empty(0, np.int64), 0
         if known:
             yield rows(least, list(known), h)
 
